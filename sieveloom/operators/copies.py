@@ -1,0 +1,124 @@
+"""Copies that differ in formatting only (problem 3).
+
+A record is hashed bottom-up like a Merkle tree: leaves are normalised, the digests of an unordered node's children are sorted, and each node's digest is
+made of its children's. Records are grouped by root digest together with the whole canonical structure, so that equal digests alone never join records.
+
+Defined results: a null text never is a copy of anything; an empty text, or one of blanks and punctuation only, has the empty canonical form and equals others
+of that form; equal ids are one record; other columns are ignored. For templates, null slots equal null slots only, and slots that are no valid JSON compare by
+canonical text. Texts of any length are taken whole.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+import unicodedata
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sieveloom.functions.text import _LINE, WORD, canonical, digest128, map_batches
+from sieveloom.operators.common import lookup_join, materialize
+
+_STRONG, _LINES = re.compile(r"[;|]"), re.compile(f"[{_LINE}]")
+#: A colon that separates a label: not between two digits, and not that of a web address.
+_COLON = re.compile(r"(?<!\d):(?!//)|:(?!\d|//)")
+
+
+def _field(part: str) -> tuple[str, str] | None:
+    m = _COLON.search(part)
+    if not m or not 1 <= len(WORD.findall(part[: m.start()])) <= 2:
+        return None
+    label, value = canonical(part[: m.start()]), canonical(part[m.end() :])
+    return (label, value) if label and value else None
+
+
+def parse_fields(text: str) -> list[tuple[str, str]] | None:
+    """The (label, value) leaves of a text that is wholly a field list of two or more fields, else None. A line break is a separator only where every line
+    between the stronger separators is a field; otherwise it is a blank within a value."""
+    fields: list[tuple[str, str]] = []
+    for part in _STRONG.split(unicodedata.normalize("NFC", text)):
+        lines = [x for x in _LINES.split(part) if WORD.search(x)]
+        if not lines:
+            continue
+        merged: list[str] = []
+        for line in lines:
+            if merged and _field(line) is None:
+                merged[-1] += " " + line
+            else:
+                merged.append(line)
+        got = [_field(x) for x in merged]
+        if None in got:
+            return None
+        fields += got
+    return fields if len(fields) > 1 else None
+
+
+def _node(kind: str, children: list[str], ordered: bool) -> str:
+    """A node of the canonical structure. Children of unordered nodes are sorted by digest."""
+    if not ordered:
+        children = sorted(children, key=lambda c: (digest128(c), c))
+    return kind + "".join(f"{len(c)}:{c}" for c in children)
+
+
+def _json_node(x: object) -> str:
+    if isinstance(x, dict):
+        return _node("o", [_node("p", [f"k{k}", _json_node(v)], True) for k, v in x.items()], False)
+    if isinstance(x, list):
+        return _node("l", [_json_node(v) for v in x], True)
+    if isinstance(x, str):
+        x = unicodedata.normalize("NFC", x)
+    return "v" + json.dumps(x, ensure_ascii=False, sort_keys=True)
+
+
+def text_structure(text: str) -> tuple[str, str | None]:
+    """Canonical structures of a text: as plain text and, if it is a field list, as an unordered list of fields."""
+    fields = parse_fields(text)
+    return "t" + canonical(text), None if fields is None else _node("f", [_node("p", list(f), True) for f in fields], False)
+
+
+def slots_structure(slots: str | None) -> str:
+    if slots is None:
+        return "n"
+    try:
+        return _json_node(json.loads(slots))
+    except ValueError:
+        return "x" + canonical(slots)
+
+
+def structures(df: DataFrame, table: str, id_col: str, text_col: str, slots_col: str | None = None) -> DataFrame:
+    """(record_table, record_id, plain, listed, slots): canonical structures of each record with a text."""
+
+    def kernel(ids: pa.Array, texts: pa.Array, slots: pa.Array | None = None) -> pa.RecordBatch:
+        both = [text_structure(t) for t in texts.to_pylist()]
+        tail = [slots_structure(s) for s in slots.to_pylist()] if slots is not None else [""] * len(both)
+        return pa.record_batch([pa.array([table] * len(both), pa.string()), ids.cast(pa.string()), pa.array([b[0] for b in both], pa.string()), pa.array([b[1] for b in both], pa.string()), pa.array(tail, pa.string())], names=["record_table", "record_id", "plain", "listed", "slots"])
+
+    src = df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), *([F.col(slots_col).alias("s")] if slots_col else [])).filter("i is not null and t is not null")
+    return map_batches(src, src.columns, kernel, "record_table string, record_id string, plain string, listed string, slots string")
+
+
+def collapse(records: DataFrame) -> DataFrame:
+    """(record_table, record_id, first_id, copies) of each record of structures(): the smallest id of its class and the class's number of records.
+
+    A text that isn't a field list but equals one as plain text belongs to that list's class."""
+    listed = records.filter("listed is not null").groupBy("record_table", "slots", "plain").agg(F.min("listed").alias("via"))
+    body = F.concat_ws("\x1f", "slots", F.coalesce("via", "listed", "plain"))
+    keyed = records.join(listed, ["record_table", "slots", "plain"], "left").select("record_id", "record_table", F.xxhash64(body).alias("root"), body.alias("body"))
+    keyed = materialize(keyed.select("record_id", F.struct("record_table", "root", "body").alias("k")), "copies")
+    classes = keyed.groupBy("k").agg(F.min("record_id").alias("first_id"), F.count_distinct("record_id").alias("copies"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes.filter("n > 1"), "classes")
+    return lookup_join(keyed, classes, "k", "n").select(
+        F.col("k.record_table").alias("record_table"), "record_id", F.coalesce("first_id", "record_id").alias("first_id"), F.coalesce("copies", F.lit(1)).alias("copies")
+    )
+
+
+def copies_found(records: DataFrame) -> DataFrame:
+    """One row for each record that isn't the first of its class."""
+    return collapse(records).filter("record_id <> first_id").select("record_table", "first_id", F.col("record_id").alias("copy_id")).distinct()
+
+
+def copies_counted(records: DataFrame) -> DataFrame:
+    """One row for each class: its first id and the number of records."""
+    return collapse(records).filter("record_id = first_id").select("record_table", F.col("first_id").alias("record_id"), "copies").distinct()

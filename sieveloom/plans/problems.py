@@ -1,0 +1,47 @@
+"""Queries of the general problems: splits (2), copies (3), overlaps between splits (5)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveloom.operators import components, copies
+from sieveloom.sources.tables import table
+
+#: Blanks around a key, whatever their kind.
+_OUTER = r"^[\s  -‍   ⁠　﻿]+|[\s  -‍   ⁠　﻿]+$"
+
+
+def key(c: str | Column) -> Column:
+    """A key without case and outer blanks; null when nothing is left."""
+    got = F.lower(F.regexp_replace(F.col(c) if isinstance(c, str) else c, _OUTER, ""))
+    return F.when(got != "", got)
+
+
+def related_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(id, anchor) of the rows of sms_dataset that have any key."""
+    rows = table(spark, d, "sms_dataset").select("row_id", key("group_id").alias("g"), F.col("template_id").alias("t"), F.when(F.col("author_id") != 0, F.col("author_id")).alias("a")).filter("row_id is not null")
+    via = table(spark, d, "templates").select(F.col("template_id").alias("t"), key("template_group").alias("g"))
+    return components.related(rows, "row_id", ["t", "g", "a"], via={"t": via})
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return related_rows(spark, d).filter("anchor <> id").select(F.col("anchor").alias("anchor_row_id"), F.col("id").alias("row_id"))
+
+
+def _copy_records(spark: SparkSession, d: str) -> DataFrame:
+    return copies.structures(table(spark, d, "corpus"), "corpus", "id", "text").union(copies.structures(table(spark, d, "templates"), "templates", "template_id", "text", "slots"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies_found(_copy_records(spark, d))
+
+
+def p3_counted(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies_counted(_copy_records(spark, d))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_counted": p3_counted}
