@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveloom.operators import components, copies
+from sieveloom.operators import components, copies, overlaps
 from sieveloom.sources.tables import table
 
 #: Blanks around a key, whatever their kind.
@@ -43,5 +43,24 @@ def p3_counted(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies_counted(_copy_records(spark, d))
 
 
+def split_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(id, side, text) of the corpus rows in train (1) and in dev or test (2)."""
+    split = key("split")
+    sides = table(spark, d, "split_index").select("row_index", F.when(split == "train", 1).when(split.isin("dev", "test"), 2).alias("side")).filter("side is not null").distinct()
+    return table(spark, d, "corpus").select("row_index", "id", "text").join(sides, "row_index").select("id", "side", "text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.cross_split(split_rows(spark, d))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs and evaluation records in pairs, per split and source of the evaluation record."""
+    split = table(spark, d, "split_index").select("row_index", key("split").alias("split")).filter("split in ('dev', 'test')").distinct()
+    rows = table(spark, d, "corpus").select("row_index", "id", "source_name").join(split, "row_index").select("id", "split", "source_name")
+    ends = p5_found(spark, d).select(F.explode(F.array("id_a", "id_b")).alias("id"))
+    return ends.join(rows, "id").groupBy("split", "source_name").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("id").alias("records"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_counted": p3_counted}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_counted": p3_counted, "p5_found": p5_found, "p5_report": p5_report}
