@@ -7,11 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveloom.llm import leaks, repetition
+from sieveloom.llm import leaks, mixing, packing, pii, repetition
+from sieveloom.operators.common import materialize
 from sieveloom.plans.problems import key
 from sieveloom.sources.tables import table
 
 
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """(record_table, record_key, text) of the two tables of messages."""
+    corpus = table(spark, d, "corpus").select(F.lit("corpus").alias("record_table"), F.col("id").alias("record_key"), "text")
+    return corpus.union(table(spark, d, "special_case_results").select(F.lit("special_case_results"), "run_id", "result.input_text"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(messages(spark, d)).select("record_table", "record_key", "pii_kind", "char_start").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(messages(spark, d))
+
+
 def held_out_items(spark: SparkSession, d: str) -> DataFrame:
     """(item_table, item_id, text): all of corpus_2, held-out templates, and corpus rows in dev or test."""
     fixed = table(spark, d, "corpus_2").select(F.lit("corpus_2").alias("item_table"), F.col("id").alias("item_id"), "text")
@@ -31,6 +46,34 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).join(source, "doc_id").groupBy("item_table", "source").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("item_id").alias("items"))
 
 
+def capacities(spark: SparkSession, d: str) -> dict[int, int]:
+    """Capacity by spec id; a small table of settings."""
+    return {r[0]: r[1] for r in table(spark, d, "pack_specs").select("spec_id", "capacity_tokens").dropna().collect()}
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), capacities(spark, d))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.utilisation(p6_packed(spark, d), capacities(spark, d))
+
+
+def targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
+    """Target share and most repeats by source; a small table of settings."""
+    rows = table(spark, d, "mix_targets").select(key("source_name"), "target_share", "max_repeats").dropna().collect()
+    return {s: (w, r) for s, w, r in sorted(rows, reverse=True) if w > 0 and r > 0}
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", key("source").alias("source"), "text")
+    return mixing.mix(docs, targets(spark, d))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(materialize(p7_mixed(spark, d), "mixed"), targets(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.measure(table(spark, d, "documents"), found_only=True).select("doc_id").distinct()
 
@@ -40,7 +83,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_report": p4_report, "p8_found": p8_found, "p8_profile": p8_profile}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_report": p4_report, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_report": p7_report, "p8_found": p8_found, "p8_profile": p8_profile}
 
 
 def oracle_sql() -> dict[str, str]:
