@@ -1,0 +1,117 @@
+"""Splits that keep related records together (problem 2): component swap search by annealing.
+
+Components (from components.related; a record without keys is one of its own) start in the split that a hash of their name gives. Annealing chains then move and exchange whole
+components to lower the deviation from the wanted sizes and from the overall label shares, and the best state of all chains is kept.
+
+Components with more than LARGE of all records (at most 1 / LARGE of them) are settled first, together, in one bounded task. The rest is cut by hash into chunks of about CHUNK
+components that are annealed in parallel, each towards its part of what the large ones leave open. Labels count in BUCKETS bins, so a state is small whatever the labels.
+
+Defined results: null ids are left out; a null label is a label of its own; a repeated id is one record; without records nothing comes out; a component larger than every
+wanted size goes where it does least harm; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sieveloom.operators.common import lookup_join, materialize
+
+LARGE, CHUNK, BUCKETS = 1 / 4096, 20_000, 16
+CHAINS, ROUNDS = 8, 6
+
+
+def anneal(names: list[str], counts: np.ndarray, want: np.ndarray, seed: int = 1, chains: int = CHAINS, rounds: int = ROUNDS) -> np.ndarray:
+    """Split of each component. counts: (components, labels) records; want: (splits, labels) records wanted. All chains step at once."""
+    n, n_splits = len(names), len(want)
+    counts = counts.astype(np.float64)
+    full = np.concatenate([counts.sum(1, keepdims=True), counts], axis=1)
+    target = np.concatenate([want.sum(1, keepdims=True), want], axis=1)
+    # a record's deviation counts once by size, and once by label in all labels together
+    weight = np.concatenate([[1.0], np.full(counts.shape[1], 1.0 / counts.shape[1])]) / max(1.0, full[:, 0].sum()) ** 2
+    share = np.cumsum(target[:, 0].clip(0)) / max(1e-9, target[:, 0].clip(0).sum())
+    u = np.array([xxhash.xxh3_64_intdigest(str(x), seed) / 2**64 for x in names])
+    start = np.searchsorted(share, u, side="right").clip(0, n_splits - 1)
+    at = np.tile(start, (chains, 1))
+    loads = np.zeros((chains, n_splits, full.shape[1]))
+    np.add.at(loads[0], start, full)
+    loads[1:] = loads[0]
+    off = loads - target
+    cost = (off * off * weight).sum((1, 2))
+    best_cost, best = cost.copy(), at.copy()
+    rng = np.random.default_rng(seed)
+    rows = np.arange(chains)
+    steps = max(200, min(rounds * n, 60_000))
+    hot = max(float(np.median(full[:, 0])), 1.0) ** 2 * weight[0] * 4
+    big = np.argsort(-full[:, 0])
+    for step in range(steps):
+        temperature = hot * (1 - step / steps) ** 2 + 1e-30
+        # half of the draws favour large components, which matter most
+        i = np.where(rng.random(chains) < 0.5, big[(n * rng.random(chains) ** 3).astype(int)], rng.integers(0, n, chains))
+        j = rng.integers(0, n, chains)
+        a, to = at[rows, i], rng.integers(0, n_splits, chains)
+        swap = rng.random(chains) < 0.4
+        to = np.where(swap, at[rows, j], to)
+        delta = full[i] - np.where(swap, 1.0, 0.0)[:, None] * full[j]
+        from_off, to_off = off[rows, a], off[rows, to]
+        change = (((from_off - delta) ** 2 - from_off**2 + (to_off + delta) ** 2 - to_off**2) * weight).sum(1)
+        take = (a != to) & ((change < 0) | (rng.random(chains) < np.exp(-np.maximum(change, 0) / temperature)))
+        k = rows[take]
+        if not len(k):
+            continue
+        off[k, a[k]] -= delta[k]
+        off[k, to[k]] += delta[k]
+        at[k, i[k]] = to[k]
+        s = k[swap[k]]
+        at[s, j[s]] = a[s]
+        cost[k] += change[k]
+        better = k[cost[k] < best_cost[k] - 1e-15]
+        best_cost[better] = cost[better]
+        best[better] = at[better]
+    return best[int(best_cost.argmin())]
+
+
+def _placer(ratio: np.ndarray, labels: np.ndarray, open_: np.ndarray, small: float, seed: int):
+    """Anneals one group: group -1 holds all large components and aims at its own proportion; others aim at their part of what is open."""
+
+    def place(key: tuple, t: pa.Table) -> pa.Table:
+        counts = np.array([c.to_numpy() for c in t.columns[2:]], dtype=np.float64).T
+        own = counts.sum(0)
+        if key[0].as_py() == -1:
+            want = np.outer(ratio, own)
+        else:
+            part = own.sum() / max(1.0, small)
+            size = open_.clip(0) * part
+            size = size / max(1e-9, size.sum()) * own.sum()
+            want = np.outer(size, own / max(1.0, own.sum()))
+        got = anneal(t["anchor"].to_pylist(), counts, want, seed)
+        return pa.table([t["anchor"], pa.array(got.astype(np.int32))], names=["anchor", "split_no"])
+
+    return place
+
+
+def assign(records: DataFrame, related: DataFrame, label: str, names: list[str], ratio: list[float], seed: int = 1) -> DataFrame:
+    """(id, split). records: (id, label column); related: (id, anchor) of the records that have keys."""
+    each = records.filter("id is not null").groupBy("id").agg(F.min(label).alias("label"))
+    rows = materialize(each.join(related, "id", "left").select("id", F.coalesce("anchor", "id").alias("anchor"), F.pmod(F.xxhash64(F.coalesce("label", F.lit("\x00"))), F.lit(BUCKETS)).alias("b")), "rows")
+    sums = [F.sum((F.col("b") == b).cast("long")).alias(f"c{b}") for b in range(BUCKETS)]
+    comps = materialize(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *sums), "components")
+    total = comps.agg(F.sum("n"), F.count(F.lit(1)), *[F.sum(f"c{b}") for b in range(BUCKETS)]).first()
+    if not total[0]:
+        return rows.select("id", F.lit(names[0]).alias("split"))
+    size, labels = np.array(ratio) / sum(ratio), np.array(total[2:], dtype=np.float64)
+    columns = ["anchor", *[f"c{b}" for b in range(BUCKETS)]]
+    is_large = F.col("n") > max(1.0, total[0] * LARGE)
+    chunks = max(1, -(-total[1] // CHUNK))
+    large = comps.filter(is_large).select(F.lit(-1).cast("long").alias("chunk"), *columns)
+    schema = "anchor long, split_no int"
+    placed = materialize(large.groupBy("chunk").applyInArrow(_placer(size, labels, size * total[0], 0.0, seed), schema), "large")
+    loads = dict(comps.filter(is_large).join(placed, "anchor").groupBy("split_no").agg(F.sum("n")).collect())
+    open_ = np.array([size[s] * total[0] - loads.get(s, 0) for s in range(len(names))])
+    rest = comps.filter(~is_large).select(F.pmod(F.xxhash64("anchor", F.lit(seed)), F.lit(chunks)).alias("chunk"), *columns)
+    parts = rest.groupBy("chunk").applyInArrow(_placer(size, labels, open_, float(total[0] - sum(loads.values())), seed), schema)
+    where = materialize(placed.union(parts).join(comps.select("anchor", "n"), "anchor"), "placed")
+    return lookup_join(rows.select("id", "anchor"), where, "anchor", "n").select("id", F.element_at(F.array(*map(F.lit, names)), F.col("split_no") + 1).alias("split"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveloom.operators import components, copies, overlaps
+from sieveloom.operators import components, copies, overlaps, splits
+from sieveloom.operators.common import materialize
 from sieveloom.sources.tables import table
 
 #: Blanks around a key, whatever their kind.
@@ -31,6 +32,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return related_rows(spark, d).filter("anchor <> id").select(F.col("anchor").alias("anchor_row_id"), F.col("id").alias("row_id"))
 
 
+#: Splits of p2_splits and their shares of the rows.
+SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sms_dataset").select(F.col("row_id").alias("id"), F.col("profile").alias("label"))
+    return splits.assign(rows, related_rows(spark, d), "label", list(SPLITS), list(SPLITS.values())).select(F.col("id").alias("row_id"), "split")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and share of each split and label."""
+    got = materialize(p2_splits(spark, d), "splits")
+    labels = table(spark, d, "sms_dataset").groupBy("row_id").agg(F.min("profile").alias("profile"))
+    total = F.lit(float(max(1, got.count())))
+    return got.join(labels, "row_id").groupBy("split", "profile").agg(F.count(F.lit(1)).alias("row_count")).withColumn("share", F.col("row_count") / total)
+
+
 def _copy_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.structures(table(spark, d, "corpus"), "corpus", "id", "text").union(copies.structures(table(spark, d, "templates"), "templates", "template_id", "text", "slots"))
 
@@ -63,4 +81,4 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_counted": p3_counted, "p5_found": p5_found, "p5_report": p5_report}
+    return {"p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p3_found": p3_found, "p3_counted": p3_counted, "p5_found": p5_found, "p5_report": p5_report}
