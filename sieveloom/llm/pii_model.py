@@ -16,7 +16,7 @@ OTHER = len(ALPHABET) + 1
 VOCAB = len(ALPHABET) + 2
 #: Texts of at most WINDOW folded characters are one window; longer ones are cut into windows that overlap by OVERLAP.
 WINDOW, OVERLAP = 320, 96
-ZERO_WIDTH = frozenset("​‌‍⁠﻿")
+ZERO_WIDTH = frozenset("\u200b\u200c\u200d\u2060\ufeff")
 
 
 class _CharIds(dict):
@@ -29,7 +29,7 @@ class _CharIds(dict):
             got = 0
         else:
             base = {"đ": "d", "Đ": "D"}.get(base, base)
-            if base in "\r\x0b\x0c\x85  ":
+            if base in "\r\x0b\x0c\x85\u2028\u2029":
                 base = "\n"
             elif base != "\n" and base.isspace():
                 base = " "
