@@ -14,12 +14,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-ZERO_WIDTH = "​‌‍⁠﻿"
-MARKS = "̀-ͯ"
+ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
+MARKS = "\u0300-\u036f"
 WORD = re.compile(rf"(?:[^\W_]|[{MARKS}])+")
 #: Words, and marks that stand between two digits ("10:32", "1.000").
 CONTENT = re.compile(rf"(?:[^\W_]|[{MARKS}])+|(?<=\d)(?:[^\w\s{ZERO_WIDTH}{MARKS}]|_)+(?=\d)")
-_LINE = "\n\r\x0b\x0c\x85  "
+_LINE = "\n\r\x0b\x0c\x85\u2028\u2029"
 
 
 class FoldTable(dict):

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What ECMAScript calls white space and line ends (fixed values).
-JS_SPACE = "\t\n\x0b\x0c\r               　﻿"
-_TONES = {"̀", "́", "̉", "̃", "̣"}
+JS_SPACE = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_TONES = {"\u0300", "\u0301", "\u0309", "\u0303", "\u0323"}
 
 
 def strip_accents(s: str) -> str:

@@ -12,7 +12,7 @@ from sieveloom.operators.common import materialize
 from sieveloom.sources.tables import table
 
 #: Blanks around a key, whatever their kind.
-_OUTER = r"^[\s  -‍   ⁠　﻿]+|[\s  -‍   ⁠　﻿]+$"
+_OUTER = r"^[\s\u00a0\u2000-\u200d\u2028\u2029\u202f\u2060\u3000\ufeff]+|[\s\u00a0\u2000-\u200d\u2028\u2029\u202f\u2060\u3000\ufeff]+$"
 
 
 def key(c: str | Column) -> Column:
