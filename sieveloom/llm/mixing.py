@@ -6,8 +6,8 @@ documents with fractions and moves tokens between them, at random but without bi
 partition is left with at most one fraction a source, and these residuals are combined by a reduction tree of fan-in FAN. Only the very last one of a source is
 rounded by itself, so a source misses its tokens by less than one document.
 
-A document with more than LARGE of its source's tokens (at most 1 / LARGE of them can be) could make that miss large: such documents are rounded first, and the rate of
-the others takes up what they miss.
+A document with more than LARGE of its source's tokens (at most 1 / LARGE of them can be) could make that miss large: such documents are rounded first (the last of them never
+up beyond the source's target), and the rate of the others takes up what they miss.
 
 Random numbers are hashes of the seed and the two ids, so a task that is run again decides alike. Defined results: null and unlisted sources are left out; source names are
 compared without case and outer blanks; null and empty texts have no tokens and are left out; targets of null or no share are ignored; several targets of one name count as the
@@ -94,15 +94,19 @@ def mix(docs: DataFrame, targets: dict[str, tuple[float, int]], tokens: float |
     for s in rate:
         large |= (F.col("source") == s) & (F.col("tokens") > LARGE * totals[s])
     settled: list[tuple] = []
+    heavy: dict[str, list[tuple]] = {s: [] for s in rate}
+    for r in sized.filter(large).collect():
+        heavy[r["source"]].append((r["doc_id"], r["tokens"], rate[r["source"]] % 1.0))
     for s, c in rate.items():
-        own = sorted(((r["doc_id"], r["tokens"], c % 1.0) for r in sized.filter(large & (F.col("source") == s)).collect()), key=lambda r: (-r[1], str(r[0])))
+        own = sorted(heavy[s], key=lambda r: (-r[1], str(r[0])))
         mine: list[tuple] = []
         stream = Pivots(seed, lambda d, n, x, s=s, c=c: mine.append((s, d, n, int(c) + x)))
         for doc in own:
             stream.add(doc)
         if stream.held:
             d, n, p = stream.held
-            mine.append((s, d, n, int(c) + int(xxhash.xxh3_64_intdigest(f"{d}", seed) / 2**64 < p)))
+            fits = sum(x[2] * x[3] for x in mine) + n * (int(c) + 1) <= c * totals[s]
+            mine.append((s, d, n, int(c) + int(fits and xxhash.xxh3_64_intdigest(f"{d}", seed) / 2**64 < p)))
         settled += mine
         rest = totals[s] - sum(x[2] for x in mine)
         if rest > 0:

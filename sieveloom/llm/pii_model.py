@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
 import os
 import unicodedata
 
@@ -84,6 +86,15 @@ def allowed() -> np.ndarray:
     return bad
 
 
+def one_thread() -> None:
+    """Keeps the linear algebra library to one thread: the products here are small, and tasks run side by side."""
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+
+
 class Tagger:
     """Weights and batched inference. `emissions` runs both directions at once, one numpy step per character of the longest window."""
 
@@ -101,6 +112,7 @@ class Tagger:
 
     @classmethod
     def load(cls, path: str | None = None) -> Tagger:
+        one_thread()
         with np.load(path or os.path.join(os.path.dirname(__file__), "pii_weights.npz")) as z:
             return cls({k: z[k] for k in z.files})
 
