@@ -117,3 +117,71 @@ def quarantine(spark, d):
     known = F.coalesce(F.col("message_mode").isin("ACCENTED", "NON_ACCENTED"), F.lit(False))
     reason = F.when(F.col("text").isNull(), "no text").when(~known, "unknown mode").when(F.octet_length("text") > 16384, "too large")
     return messages(spark, d).select("id", reason.alias("reason")).filter("reason is not null")
+
+
+@query(SQL["msg_summary"] + " WHERE s.id IN (SELECT id FROM corpus WHERE message_mode IN ('ACCENTED', 'NON_ACCENTED') AND octet_length(encode(text)) <= 16384)")
+def stream_summary(spark, d):
+    """Summaries of the corpus read as a stream of files; the same rows as in batch, without refused messages."""
+    from sieveloom.streaming import messages as stream
+
+    schema = table(spark, d, "corpus").schema
+    got = stream.checked(stream.file_stream(spark, f"{d}/corpus.parq*et", schema).select("id", "text", "message_mode"))
+    return stream.drain(got.select("id", "summary.word_count", "summary.unaccented_word_ratio", "summary.unaccented_content"))
+
+
+# ---- linguistic findings on the labelled messages ----
+
+
+def _lane_model(spark, d):
+    """Model of the corrected training messages, with their proven pairs; held-out splits are never read."""
+    from sieveloom.config import Config
+    from sieveloom.operators import lanes, ngrams
+    from sieveloom.operators.common import materialize
+    from sieveloom.operators.prep import channel, direct
+    from sieveloom.plans import prep as pq
+    from sieveloom.plans.problems import key
+
+    rows = table(spark, d, "sms_dataset").filter(key("split") == "train").select("row_id", "clean").filter("clean is not null").distinct()
+    lines = materialize(ngrams.lines(rows, "clean", "row_id"), "lines")
+    u, b, t = (materialize(ngrams.count_grams(lines, n), "grams") for n in (1, 2, 3))
+    lexicon = u.filter("c >= 3").select(F.col("gram").alias("word"), F.col("c").alias("freq"), F.lit("corpus").alias("src"))
+    pairs = materialize(channel(pq.pairs(spark, d, "train")), "pairs")
+    allowed = table(spark, d, "sms_dataset").select(F.lower("brandname").alias("word")).dropna().distinct()
+    # least frequencies for a model of a few hundred thousand words
+    cfg = Config().override(plain_form_frequency=50, spelling_frequency=5, boundary_frequency=5, word_boundary="ACTIVE")
+    return lanes.Model(u, b, t, lexicon, pairs, allowed, cfg), direct(pairs, u.select(F.col("gram").alias("word")))
+
+
+def _labelled(spark, d):
+    from sieveloom.plans.problems import key
+
+    return table(spark, d, "sms_dataset").filter(key("split").isin("dev", "test")).dropDuplicates(["row_id"])
+
+
+def _lane_findings(spark, d):
+    from sieveloom.operators import lanes
+
+    m, direct = _lane_model(spark, d)
+    return lanes.find(_labelled(spark, d).select(F.col("row_id").alias("msg_id"), "text", F.lit("ACCENTED").alias("mode")), m, direct)[0]
+
+
+@query()
+def lane_findings(spark, d):
+    """Linguistic findings on the held-out messages; tested on cases."""
+    return _lane_findings(spark, d)
+
+
+@query()
+def lane_scores(spark, d):
+    """Precision, recall and F0.5 of the findings against the labels by error profile, strictly by rule, place and suggestion, and by place alone."""
+    from sieveloom.operators.evaluate import f_beta, ratio
+
+    rows = _labelled(spark, d)
+    labels = rows.select(F.col("row_id").alias("msg_id"), F.explode("expect").alias("x")).select("msg_id", "x.rule_id", F.col("x.position_start").alias("start"), F.lower("x.suggestion").alias("want")).distinct()
+    found = _lane_findings(spark, d).select("msg_id", F.col("rule_id").alias("f_rule"), "start", "suggestion")
+    j = labels.join(found, ["msg_id", "start"], "full_outer").join(rows.select(F.col("row_id").alias("msg_id"), "profile"), "msg_id")
+    strict = (F.col("rule_id") == F.col("f_rule")) & ((F.col("want") == F.col("suggestion")) | F.col("want").isNull())
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    s = j.groupBy("profile").agg(F.count("rule_id").alias("labels"), F.count("f_rule").alias("findings"), n(strict).alias("strict_hits"), n(F.col("rule_id").isNotNull() & F.col("f_rule").isNotNull()).alias("placed_hits"))
+    s = s.withColumn("precision", ratio(F.col("strict_hits"), F.col("findings"))).withColumn("recall", ratio(F.col("strict_hits"), F.col("labels")))
+    return s.withColumn("f05", f_beta(F.col("precision"), F.col("recall")))

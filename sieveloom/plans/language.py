@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sieveloom.functions.unicode import accent_key, nfc, words
+from sieveloom.operators import evidence as ev
 from sieveloom.operators import lexicon as lx
 from sieveloom.operators import ngrams as ng
 from sieveloom.sources.tables import table
@@ -172,21 +173,8 @@ def evidence(spark, d) -> DataFrame:
     at = tokens(spark, d).select("word", "prev2", "prev1", "next1", "next2").distinct()
     keys = at.select("word").distinct().withColumn("akey", accent_key("word"))
     rows = at.join(keys, "word").join(fam.select("akey", F.col("gram").alias("cand")), "akey").filter("cand <> word")
-
-    def windows(w: str) -> list[tuple[str, F.Column, DataFrame]]:
-        c = F.col(w)
-        cat = lambda *x: F.when(sum((F.col(y).isNull().cast("int") for y in x if y != w), F.lit(0)) == 0, F.concat_ws(" ", *x))
-        return [("uni", c, u), ("left", cat("prev1", w), b), ("right", cat(w, "next1"), b), ("mid", cat("prev1", w, "next1"), t), ("fwd", cat(w, "next1", "next2"), t), ("back", cat("prev2", "prev1", w), t)]
-
-    for side in ("cand", "word"):
-        for name, gram, counts in windows(side):
-            rows = rows.withColumn("_g", gram).join(counts.select(F.col("gram").alias("_g"), F.col("c").alias(f"{name}_{side}")), "_g", "left").drop("_g")
-    rows = rows.fillna(0, [f"{n}_{s}" for n in ("uni", "left", "right", "mid", "fwd", "back") for s in ("cand", "word")])
-    ratios = {n: ng.log_ratio(F.col(f"{n}_cand"), F.col(f"{n}_word")) for n in ("uni", "left", "right", "mid", "fwd", "back")}
-    attested = lambda s: sum(((F.col(f"{n}_{s}") > 0).cast("int") for n in ("left", "right", "mid", "fwd", "back")), F.lit(0))
-    weights = {"uni": 0.25, "left": 0.5, "right": 0.5, "mid": 1.0, "fwd": 1.0, "back": 1.0}
-    score = sum((w * ratios[n] for n, w in weights.items()), F.lit(0.0))
-    return rows.select("word", "prev2", "prev1", "next1", "next2", "cand", *[r6(x).alias(f"{n}_ratio") for n, x in ratios.items()], attested("cand").alias("cand_windows"), attested("word").alias("word_windows"), r6(score).alias("score"))
+    rows = ev.attest(rows, (u, b, t))
+    return rows.select("word", "prev2", "prev1", "next1", "next2", "cand", *[r6(x).alias(f"{n}_ratio") for n, x in ev.ratios().items()], ev.attested("cand").alias("cand_windows"), ev.attested("word").alias("word_windows"), r6(ev.score()).alias("score"))
 
 
 def _evidence_sql() -> str:
