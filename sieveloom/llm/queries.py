@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from sieveloom.llm import leaks, mixing, packing, pii, repetition
 from sieveloom.operators.common import materialize
 from sieveloom.plans.problems import key
-from sieveloom.sources.tables import table
+from sieveloom.sources.tables import spread, table
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """(record_table, record_key, text) of the two tables of messages."""
     corpus = table(spark, d, "corpus").select(F.lit("corpus").alias("record_table"), F.col("id").alias("record_key"), "text")
-    return corpus.union(table(spark, d, "special_case_results").select(F.lit("special_case_results"), "run_id", "result.input_text"))
+    return spread(corpus.union(table(spark, d, "special_case_results").select(F.lit("special_case_results"), "run_id", "result.input_text")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def held_out_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked(table(spark, d, "documents"), held_out_items(spark, d))
+    return leaks.leaked(spread(table(spark, d, "documents").select("doc_id", "text")), held_out_items(spark, d))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def capacities(spark: SparkSession, d: str) -> dict[int, int]:
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(table(spark, d, "documents"), capacities(spark, d))
+    return packing.pack(spread(table(spark, d, "documents").select("doc_id", "text")), capacities(spark, d))
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
 
 
 def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", key("source").alias("source"), "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", key("source").alias("source"), "text"))
     return mixing.mix(docs, targets(spark, d))
 
 
@@ -75,16 +75,34 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.measure(table(spark, d, "documents"), found_only=True).select("doc_id").distinct()
+    return repetition.measure(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), found_only=True).select("doc_id").distinct()
 
 
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.measure(table(spark, d, "documents"))
+    return repetition.measure(spread(table(spark, d, "documents").select("doc_id", "text", "lang")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_report": p4_report, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_report": p7_report, "p8_found": p8_found, "p8_profile": p8_profile}
 
 
+_CASED = r"regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}\p{M}]+')"
+_FOLDED = r"regexp_extract_all(replace(lower(strip_accents(nfc_normalize(text))), 'đ', 'd'), '[\p{L}\p{N}]+')"
+_KEYED = r"lower(regexp_replace({0}, '^[ \t\n\r\x{a0}\x{2003}\x{200b}]+|[ \t\n\r\x{a0}\x{2003}\x{200b}]+$', '', 'g'))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL that places every window of every text; the other problems are tested against brute force."""
+    held = (
+        "SELECT 'corpus_2' AS item_table, id AS item_id, text FROM corpus_2 UNION ALL SELECT 'templates', template_id, text FROM templates WHERE " + _KEYED.replace("{0}", "purpose") + " = 'held_out' "
+        "UNION ALL SELECT 'corpus', id, text FROM corpus WHERE row_index IN (SELECT row_index FROM split_index WHERE " + _KEYED.replace("{0}", "split") + " IN ('dev', 'test'))"
+    )
+    grams = "SELECT {key}, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' '))) AS g FROM ({src}) WHERE len(ws) >= 12"
+    docs = grams.format(key="doc_id", src=f"SELECT doc_id, {_FOLDED} AS ws FROM documents WHERE text IS NOT NULL")
+    items = grams.format(key="item_table, item_id", src=f"SELECT item_table, item_id, {_FOLDED} AS ws FROM ({held}) WHERE text IS NOT NULL")
+    return {
+        "p4_found": f"SELECT DISTINCT doc_id, item_table, item_id FROM ({docs}) d JOIN ({items}) i ON d.g = i.g",
+        "p8_found": f"""WITH w AS (SELECT doc_id, {_CASED} AS ws FROM documents WHERE text IS NOT NULL), i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ') ORDER BY i) AS n FROM i), c AS (SELECT doc_id, count(DISTINCT p) AS k FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g WHERE n > 1) GROUP BY doc_id)
+SELECT doc_id FROM c JOIN w USING (doc_id) WHERE k >= 0.3 * len(ws)""",
+    }

@@ -202,6 +202,21 @@ def test_found_queries_against_brute_force(spark):
     assert {r["doc_id"] for r in queries.p8_found(spark, D).collect()} == want
 
 
+def test_sql(spark):
+    import os
+
+    import duckdb
+
+    c = duckdb.connect()
+    for f in os.listdir(HELD):
+        c.execute(f"CREATE VIEW \"{f.split('.')[0]}\" AS SELECT * FROM '{HELD}/{f}'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, HELD)
+        cur = c.execute(sql)
+        at = [[x[0] for x in cur.description].index(n) for n in df.columns]
+        assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in at) for r in cur.fetchall())
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p1_redacted", "p4_report", "p6_packed", "p6_report", "p7_mixed", "p7_report", "p8_profile"])
 def test_queries_run(spark, name):
     assert queries.queries()[name](spark, D).count() > 0
