@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -22,10 +23,12 @@ def strip_accents(s: str) -> str:
     return out.replace("đ", "d").replace("Đ", "D")
 
 
+@functools.lru_cache(1 << 16)
 def lookup_key(s: str) -> str:
     return unicodedata.normalize("NFC", s).lower()
 
 
+@functools.lru_cache(1 << 16)
 def accent_key_of(s: str) -> str:
     return strip_accents(lookup_key(s))
 

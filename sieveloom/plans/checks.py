@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sieveloom.operators import rules
-from sieveloom.sources.tables import table
+from sieveloom.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def messages(spark, d):
-    return table(spark, d, "corpus").select("id", "text", "message_mode", "brand", "category", "source_name", "expect", "forbid", "clean", "fully_labeled", "fully_labeled_rule_ids")
+    return spread(table(spark, d, "corpus").select("id", "text", "message_mode", "brand", "category", "source_name", "expect", "forbid", "clean", "fully_labeled", "fully_labeled_rule_ids"))
 
 
 def results(spark, d):

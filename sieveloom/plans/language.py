@@ -10,7 +10,7 @@ from sieveloom.functions.unicode import accent_key, nfc, words
 from sieveloom.operators import evidence as ev
 from sieveloom.operators import lexicon as lx
 from sieveloom.operators import ngrams as ng
-from sieveloom.sources.tables import table
+from sieveloom.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,11 +30,11 @@ def query(sql: str | None = None):
 
 def clean_lines(spark: SparkSession, d: str) -> DataFrame:
     """Words of the lines of the corrected messages, once a record."""
-    return ng.lines(table(spark, d, "sms_dataset").select("row_id", "clean").distinct().filter("clean is not null"), "clean", "row_id")
+    return ng.lines(spread(table(spark, d, "sms_dataset").select("row_id", "clean").filter("clean is not null")).distinct(), "clean", "row_id")
 
 
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
-    return ng.lines(table(spark, d, "documents").filter("text is not null"), "text", "doc_id")
+    return ng.lines(spread(table(spark, d, "documents").select("doc_id", "text").filter("text is not null")), "text", "doc_id")
 
 
 def r6(c) -> F.Column:

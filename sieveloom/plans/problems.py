@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveloom.operators import components, copies, overlaps, splits
 from sieveloom.operators.common import materialize
-from sieveloom.sources.tables import table
+from sieveloom.sources.tables import spread, table
 
 #: Blanks around a key, whatever their kind.
 _OUTER = r"^[\s\u00a0\u2000-\u200d\u2028\u2029\u202f\u2060\u3000\ufeff]+|[\s\u00a0\u2000-\u200d\u2028\u2029\u202f\u2060\u3000\ufeff]+$"
@@ -50,7 +50,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _copy_records(spark: SparkSession, d: str) -> DataFrame:
-    return copies.structures(table(spark, d, "corpus"), "corpus", "id", "text").union(copies.structures(table(spark, d, "templates"), "templates", "template_id", "text", "slots"))
+    return copies.structures(spread(table(spark, d, "corpus").select("id", "text")), "corpus", "id", "text").union(copies.structures(table(spark, d, "templates"), "templates", "template_id", "text", "slots"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
