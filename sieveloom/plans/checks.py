@@ -185,3 +185,13 @@ def lane_scores(spark, d):
     s = j.groupBy("profile").agg(F.count("rule_id").alias("labels"), F.count("f_rule").alias("findings"), n(strict).alias("strict_hits"), n(F.col("rule_id").isNotNull() & F.col("f_rule").isNotNull()).alias("placed_hits"))
     s = s.withColumn("precision", ratio(F.col("strict_hits"), F.col("findings"))).withColumn("recall", ratio(F.col("strict_hits"), F.col("labels")))
     return s.withColumn("f05", f_beta(F.col("precision"), F.col("recall")))
+
+
+@query()
+def validated(spark, d):
+    """Results of the held-out messages by rules and lanes together."""
+    from sieveloom.operators.engine import validate
+
+    m, direct = _lane_model(spark, d)
+    r = validate(_labelled(spark, d).select(F.col("row_id").alias("msg_id"), "text", F.lit("ACCENTED").alias("mode")), m, direct)
+    return r.select("msg_id", "valid", "has_errors", "has_warnings", F.size("issues").alias("findings"), "summary.word_count", "summary.linguistic_issue_count", "summary.unaccented_content")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from sieveloom.config import Config
 from sieveloom.functions.unicode import accent_key_of
 from sieveloom.operators import lanes, ngrams, prep
-from sieveloom.plans import checks
 from sieveloom.sources import files
 from sieveloom.streaming import messages as stream
 
@@ -24,17 +23,33 @@ def model(spark):
     return lanes.Model(u, b, t, lexicon, pairs, allowed, cfg), prep.direct(pairs, u.select(F.col("gram").alias("word")))
 
 
-def findings(spark, model, *texts, mode="ACCENTED"):
-    m = spark.createDataFrame([(i, t, mode, "x") for i, t in enumerate(texts)], "msg_id long, text string, mode string, lane string")
-    return {(r["msg_id"], r["rule_id"], r["value"], r["suggestion"]) for r in lanes.find(m, *model)[0].collect()}
-
-
 def test_lanes_on_cases(spark, model):
-    got = findings(spark, model, "xin cam on quy khach", "mời quý kháhc đến cửa hàng", "hẹn gặplại quý khách hôm nay", "xin cảm ơn quý khách", "giao hàng tại abcshop hôm nay", None, "", "xin cảm ơn quý khách " * 400)
+    texts = ["xin cam on quy khach", "mời quý kháhc đến cửa hàng", "hẹn gặplại quý khách hôm nay", "xin cảm ơn quý khách", "giao hàng tại abcshop hôm nay", None, "", "xin cảm ơn quý khách " * 400, "mã quy22 khach12 0912345678 a@b.vn"]
+    rows = [(i, t, "ACCENTED", "x") for i, t in enumerate(texts)] + [(50, texts[0], "NON_ACCENTED", "x"), (0, texts[0], "ACCENTED", "x")]
+    m = spark.createDataFrame(rows, "msg_id long, text string, mode string, lane string")
+    got = {(r["msg_id"], r["rule_id"], r["value"], r["suggestion"]) for r in lanes.find(m, *model)[0].collect()}
     want = {(0, "POSSIBLE_MISSING_DIACRITIC", "cam", "cảm"), (0, "POSSIBLE_MISSING_DIACRITIC", "on", "ơn"), (0, "POSSIBLE_MISSING_DIACRITIC", "quy", "quý"), (0, "POSSIBLE_MISSING_DIACRITIC", "khach", "khách"), (1, "POSSIBLE_SPELLING_ERROR", "kháhc", "khách"), (2, "POSSIBLE_WORD_BOUNDARY_ERROR", "gặplại", "gặp lại")}
     assert want <= got and not {g for g in got if g[0] > 2}
-    assert findings(spark, model, "xin cam on quy khach", mode="NON_ACCENTED") == set()
-    assert findings(spark, model, "mã quy22 khach12 0912345678 a@b.vn") == set()
+
+
+def test_validate(spark, model):
+    from sieveloom.operators.engine import validate, validate_text
+
+    df = spark.createDataFrame([(1, "xin cam  on quý khách", "ACCENTED"), (2, None, "ACCENTED"), (3, "mã", "NON_ACCENTED"), (4, "", "ACCENTED"), (1, "xin cam  on quý khách", "ACCENTED")], "msg_id long, text string, mode string")
+    got = {r["msg_id"]: r for r in validate(df, *model).collect()}
+    assert [(i["rule_id"], i["start"]) for i in got[1]["issues"]] == [("POSSIBLE_MISSING_DIACRITIC", 4), ("MULTIPLE_WHITESPACE", 7), ("POSSIBLE_MISSING_DIACRITIC", 9)]
+    assert got[1]["summary"]["linguistic_issue_count"] == 2 and got[1]["valid"] and not got[2]["valid"] and got[2]["issues"] == [] and got[3]["has_errors"] and got[4]["valid"]
+    assert validate_text(spark, "a  b")["issues"][0]["rule_id"] == "MULTIPLE_WHITESPACE"
+
+
+def test_real_words_need_a_proven_pair(spark, model):
+    m, direct = model
+    pairs = spark.createDataFrame([("hang", "hàng", 1), ("nhà", "này", 4)], "source string, target string, n long")
+    own = lanes.Model(m.u, m.b, m.t, m.lexicon, pairs, m.allowed, m.cfg)
+    msg = spark.createDataFrame([(1, "vui lòng giữ tin nhà", "ACCENTED")], "msg_id long, text string, mode string")
+    words = lanes.classified(lanes.positions(msg), own)
+    assert {(r["value"], r["suggestion"]) for r in lanes.real_words(words, own).collect()} <= {("nhà", "này")}
+    assert lanes.real_words(words, m).count() == 0
 
 
 def test_lanes_shadow_off_and_empty(spark, model):
@@ -55,12 +70,6 @@ def test_beam_and_scores():
     assert accent_key_of("Đường") == "duong"
 
 
-def test_lane_findings_are_deterministic_and_precise(spark):
-    d = "/root/testdata/sf0.001"
-    a, b = ({tuple(r) for r in checks.lane_findings(spark, d).collect()} for _ in range(2))
-    assert {x[:7] for x in a} == {x[:7] for x in b} and a
-
-
 def test_ngram_file_round_trip_and_breaks(spark, tmp_path):
     u, b, t = (spark.createDataFrame(x, "gram string, c long") for x in ([("a", 3), ("b", 2)], [("a b", 2)], [("a b a", 1)]))
     files.write_ngrams(u, b, t, f"file://{tmp_path}/lm")
