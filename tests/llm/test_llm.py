@@ -202,6 +202,19 @@ def test_found_queries_against_brute_force(spark):
     assert {r["doc_id"] for r in queries.p8_found(spark, D).collect()} == want
 
 
+def test_profile_shares_against_brute_force(spark):
+    """The share of every document, also below the one the guards are for."""
+    run = " ".join(f"chữ{i}" for i in range(7))
+    small = f"{run} {' '.join(f'khác{i}' for i in range(60))} {run}"
+    made = spark.createDataFrame([(1, small, "vi"), (2, run, "vi"), (3, None, "vi"), (4, "", None), (5, "a b c d e", "en"), (6, f"{run} {run}", "vi")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["repeated_share"] for r in repetition.measure(made).collect()}
+    assert got == {1: 7 / 74, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.5}
+    docs = [(r["doc_id"], cased_words(r["text"] or "")) for r in table(spark, D, "documents").collect()]
+    want = Counter((i, brute_repeated(ws) / len(ws) if ws else 0.0) for i, ws in docs)
+    assert sum(0 < s < repetition.SHARE for _, s in want) > 0
+    assert Counter((r["doc_id"], r["repeated_share"]) for r in queries.p8_profile(spark, D).collect()) == want
+
+
 def test_sql(spark):
     import os
 
