@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sieveloom.config import Config
 from sieveloom.functions.unicode import accent_key_of
-from sieveloom.operators import lanes, ngrams, prep
+from sieveloom.operators import lanes, ngrams, prep, rules
 from sieveloom.sources import files
 from sieveloom.streaming import messages as stream
 
@@ -52,6 +52,23 @@ def test_real_words_need_a_proven_pair(spark, model):
     assert lanes.real_words(words, m).count() == 0
 
 
+def test_missing_diacritics_near_protected_spans(spark, model):
+    """A known bare word without a proven pair and below the floor passes close to a protected span, if its suggestion is attested more often."""
+    m, direct = model
+    known = m.lexicon.unionByName(spark.createDataFrame([("gio", 3, "corpus")], "word string, freq long, src string"))
+    own = lanes.Model(m.u, m.b, m.t, known, m.pairs, m.allowed, m.cfg.override(confidence_floor=1.0))
+    texts = ["giao hàng tại nhà trước gio 0912345678", "giao hàng tại nhà trước gio hẹn 0912345678", "giao hàng tại nhà trước gio hẹn", "a@b.vn gio hẹn gặp lại"]
+    df = spark.createDataFrame([(i, t, "ACCENTED") for i, t in enumerate(texts)], "msg_id long, text string, mode string")
+    words = lanes.classified(lanes.positions(df), own)
+    raw = lanes.missing_diacritics(words, own).collect()
+    assert {r["msg_id"] for r in raw if (r["value"], r["suggestion"]) == ("gio", "giờ")} == {0, 1, 2, 3} and all(r["confidence"] < own.cfg.confidence_floor for r in raw)
+    assert {(r["msg_id"], r["value"], r["suggestion"]) for r in lanes.find(df, own, direct)[0].collect()} == {(0, "gio", "giờ"), (3, "gio", "giờ")}
+    no = lanes.Model(m.u, m.b.filter("gram not like '%giờ%'"), m.t.filter("gram not like '%giờ%'"), known, m.pairs, m.allowed, m.cfg)
+    found = spark.createDataFrame([(0, "POSSIBLE_MISSING_DIACRITIC", 24, 27, "giờ")], "msg_id long, rule_id string, start int, end int, suggestion string")
+    spans = df.select("msg_id", rules.ranges_udf("text", "mode").alias("ranges"))
+    assert [r["spared"] for r in lanes.with_spared(found, spans, words, own).collect()] == [True] and [r["spared"] for r in lanes.with_spared(found, spans, words, no).collect()] == [None]
+
+
 def test_lanes_shadow_off_and_empty(spark, model):
     m = spark.createDataFrame([(1, "hẹn gặplại quý khách hôm nay", "ACCENTED")], "msg_id long, text string, mode string")
     quiet = lanes.Model(*[getattr(model[0], x) for x in ("u", "b", "t", "lexicon", "pairs", "allowed")], model[0].cfg.override(word_boundary="SHADOW", spelling="OFF"))
