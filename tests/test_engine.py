@@ -42,6 +42,20 @@ def test_validate(spark, model):
     assert validate_text(spark, "a  b")["issues"][0]["rule_id"] == "MULTIPLE_WHITESPACE"
 
 
+def test_candidate_pool_holds_siblings_and_the_bare_spelling(spark, model):
+    """Siblings of the own key beyond the cap come in for accented words, and the spelling without accents stays, however rare."""
+    m, _ = model
+    counts = [("vé", 90), ("về", 80), ("vẽ", 70), ("vẻ", 60), ("vệ", 50), ("ve", 1), *[(w, 40) for w in "má mà mả mã mạ mâ mấ mầ mẩ mẫ mậ mă".split()], ("ma", 2)]
+    u = spark.createDataFrame(counts, "gram string, c long")
+    own = lanes.Model(u, m.b, m.t, m.lexicon, m.pairs, m.allowed, m.cfg)
+    got = {}
+    for r in lanes.candidate_pool(spark.createDataFrame([("vể",), ("veh",), ("mah",)], "word string"), own).collect():
+        assert (r["word"], r["cand"]) not in got
+        got[r["word"], r["cand"]] = r["freq"]
+    assert {(c, f) for (w, c), f in got.items() if w == "vể" and c[0] == "v"} == set(counts[:6])
+    assert {c for w, c in got if w == "veh" and c[0] == "v"} == {"vé", "về", "vẽ", "ve"} and got["mah", "ma"] == 2 and sum(w == "mah" and c[0] == "m" for w, c in got) == 4
+
+
 def test_real_words_need_a_proven_pair(spark, model):
     m, direct = model
     pairs = spark.createDataFrame([("hang", "hàng", 1), ("nhà", "này", 4)], "source string, target string, n long")
