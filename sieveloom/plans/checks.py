@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveloom.operators import rules
@@ -187,11 +190,32 @@ def lane_scores(spark, d):
     return s.withColumn("f05", f_beta(F.col("precision"), F.col("recall")))
 
 
-@query()
-def validated(spark, d):
-    """Results of the held-out messages by rules and lanes together."""
+def _validate(spark, d, rows):
+    """Results of rules and lanes together for messages (msg_id, text, mode, brand), by the model of the training messages."""
     from sieveloom.operators.engine import validate
 
-    m, direct = _lane_model(spark, d)
-    r = validate(_labelled(spark, d).select(F.col("row_id").alias("msg_id"), "text", F.lit("ACCENTED").alias("mode")), m, direct)
-    return r.select("msg_id", "valid", "has_errors", "has_warnings", F.size("issues").alias("findings"), "summary.word_count", "summary.linguistic_issue_count", "summary.unaccented_content")
+    return validate(rows, *_lane_model(spark, d), F.coalesce(F.col("brand").endswith(BRANDS), F.lit(False)), ABBREVIATIONS)
+
+
+def joint_results(spark, d):
+    """Messages of the corpus with their issues by rules and lanes together."""
+    own = messages(spark, d)
+    found = _validate(spark, d, own.select(F.col("id").alias("msg_id"), "text", F.col("message_mode").alias("mode"), "brand"))
+    return own.join(found.select(F.col("msg_id").alias("id"), "issues"), "id", "left")
+
+
+def all_messages(spark, d):
+    """(message_table, msg_id, text, mode, brand) of corpus, sms_dataset (all splits; its messages are written with accents) and special_case_results, once an id, which holds the table's name."""
+    parts = [
+        messages(spark, d).select(F.lit("corpus").alias("message_table"), F.col("id").alias("key"), "text", F.col("message_mode").alias("mode"), "brand"),
+        table(spark, d, "sms_dataset").select(F.lit("sms_dataset"), F.col("row_id").cast("string"), "text", F.lit("ACCENTED"), "brandname"),
+        table(spark, d, "special_case_results").select(F.lit("special_case_results"), "run_id", "result.input_text", "result.message_mode", F.lit(None).cast("string")),
+    ]
+    return reduce(DataFrame.union, parts).withColumn("msg_id", F.concat_ws(":", "message_table", "key")).drop("key").dropDuplicates(["msg_id"])
+
+
+@query()
+def validated(spark, d):
+    """Results of all messages, each in its own mode, by rules and lanes together; the id is that of its table."""
+    r = _validate(spark, d, all_messages(spark, d))
+    return r.select(F.expr("substring(msg_id, 1, instr(msg_id, ':') - 1)").alias("message_table"), F.expr("substring(msg_id, instr(msg_id, ':') + 1)").alias("msg_id"), "valid", "has_errors", "has_warnings", F.size("issues").alias("findings"), "summary.word_count", "summary.linguistic_issue_count", "summary.unaccented_content")

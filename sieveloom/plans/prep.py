@@ -345,8 +345,8 @@ def freeze_k(spark, d):
 
 @query()
 def match_strict(spark, d):
-    """Labels of the corpus matched one-to-one with the findings of the rules."""
-    return evaluate.strict_match(checks.results(spark, d).filter("text is not null"), ["id", "category"])
+    """Labels of the corpus matched one-to-one with the findings of rules and lanes together."""
+    return evaluate.strict_match(checks.joint_results(spark, d).filter("text is not null"), ["id", "category"])
 
 
 @query()

@@ -42,6 +42,25 @@ def test_validate(spark, model):
     assert validate_text(spark, "a  b")["issues"][0]["rule_id"] == "MULTIPLE_WHITESPACE"
 
 
+def test_corpus_labels_meet_rules_and_lanes(spark, model, tmp_path, monkeypatch):
+    """All messages are validated, each in its own mode, and a label of a linguistic rule in the corpus can be caught."""
+    from sieveloom.plans import checks
+    from sieveloom.plans import prep as plans
+
+    label = "array<struct<rule_id:string,issue_value:string,suggestion:string,position_start:int,position_end:int>>"
+    rows = [("c1", "a", "xin cam  on quý khách", "ACCENTED", [("POSSIBLE_MISSING_DIACRITIC", "cam", "cảm", 4, 7), ("MULTIPLE_WHITESPACE", None, None, 7, 9)]), ("c2", "b", "xin cam on quý khách", "NON_ACCENTED", []), ("c3", "b", "hẹn gặplại quý khách hôm nay", None, [])]
+    corpus = spark.createDataFrame(rows, f"id string, category string, text string, message_mode string, expect {label}")
+    corpus = corpus.selectExpr("*", "'S_VN' AS brand", "'x' AS source_name", "CAST(array('ABBREVIATION_DETECTED') AS array<string>) AS forbid", "false AS clean", "true AS fully_labeled", "CAST(null AS array<string>) AS fully_labeled_rule_ids")
+    corpus.write.parquet(f"file://{tmp_path}/corpus.parquet")
+    spark.createDataFrame([(1, "xin cam on quý khách", "train", "x"), (2, "xin cảm ơn quý khách", "dev", "x"), (2, "xin cảm ơn quý khách", "dev", "x")], "row_id long, text string, split string, brandname string").write.parquet(f"file://{tmp_path}/sms_dataset.parquet")
+    spark.createDataFrame([("r:1", ("xin  chào mã", "NON_ACCENTED"))], "run_id string, result struct<input_text:string,message_mode:string>").write.parquet(f"file://{tmp_path}/special_case_results.parquet")
+    monkeypatch.setattr(checks, "_lane_model", lambda spark, d: model)
+    d = str(tmp_path)
+    assert {tuple(r) for r in plans.match_strict(spark, d).select("id", "expected", "caught", "forbidden").collect()} == {("c1", 2, 2, 0), ("c2", 0, 0, 0), ("c3", 0, 0, 0)}
+    got = {(r["message_table"], r["msg_id"]): (r["linguistic_issue_count"], r["has_errors"]) for r in checks.validated(spark, d).collect()}
+    assert got == {("corpus", "c1"): (2, False), ("corpus", "c2"): (0, True), ("corpus", "c3"): (0, False), ("sms_dataset", "1"): (2, False), ("sms_dataset", "2"): (0, False), ("special_case_results", "r:1"): (0, True)}
+
+
 def test_candidate_pool_holds_siblings_and_the_bare_spelling(spark, model):
     """Siblings of the own key beyond the cap come in for accented words, and the spelling without accents stays, however rare."""
     m, _ = model
