@@ -1,4 +1,4 @@
-"""Connected components of rows that share keys, by alternating star contraction (problem 2).
+"""Connected components of rows that share keys, by alternating star contraction.
 
 A key is stood for by the smallest row id that has it, so vertices are exact (no hashing of keys) and the smallest row of a component is its name. Rows drop
 out at once: what is contracted is the graph of key representatives. All groupings are minima with map-side combining; no neighbourhood is ever collected.
@@ -20,19 +20,22 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def star_forest(edges: DataFrame) -> DataFrame:
-    """(a, b) with b the smallest vertex of a's component, for each vertex a of the edges but the smallest ones. edges: (a, b), a > b, distinct."""
+    """(a, b) with b the smallest vertex of a's component, for each vertex a of the edges but the smallest ones. edges: (a, b), a > b, distinct.
+
+    A contracted giant component is one star: the edges of its centre are spread by lookup_join."""
     now = materialize(edges, "edges")
     seen = _signature(now)
     while True:
         # large star: each vertex sends its larger neighbours to the smallest of its neighbourhood
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = materialize(lookup_join(both, least, "u", "n", "inner").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small star: each vertex sends its smaller neighbours, and itself, to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+        lowest = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = lookup_join(large, lowest, "a", "n", "inner").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b"))).distinct()
         then = materialize(small, "edges")
-        release(now)
+        for t in (now, least, large, lowest):
+            release(t)
         now, before = then, seen
         seen = _signature(now)
         if seen == before:
@@ -58,12 +61,12 @@ def related(rows: DataFrame, id_col: str, keys: list[str], via: dict[str, DataFr
 
     for k, pairs in (via or {}).items():
         other = next(c for c in pairs.columns if c != k)
-        got = materialize(pairs.dropna().distinct().join(least_of(k), k).select(other, F.col(f"m_{k}").alias("id")), "via")
+        got = materialize(lookup_join(pairs.dropna().distinct(), least_of(k), k, "n", "inner").select(other, F.col(f"m_{k}").alias("id")), "via")
         through[other].append(got)
     wide = base
     for k in keys:
         wide = lookup_join(wide, least_of(k), k, "n").drop(k)
-        links += [g.join(least_of(k), k).select(F.greatest("id", f"m_{k}").alias("a"), F.least("id", f"m_{k}").alias("b")) for g in through[k]]
+        links += [lookup_join(g, least_of(k), k, "n", "inner").select(F.greatest("id", f"m_{k}").alias("a"), F.least("id", f"m_{k}").alias("b")) for g in through[k]]
     reps = [F.col(f"m_{k}") for k in keys]
     wide = materialize(wide.filter(reduce(lambda x, y: x | y, [c.isNotNull() for c in reps])).withColumn("m", F.least("id", *reps)), "rows")
     links.append(wide.select(F.explode(F.array(*reps)).alias("a"), F.col("m").alias("b")))

@@ -142,7 +142,7 @@ def _lane_model(spark, d):
     from sieveloom.operators.common import materialize
     from sieveloom.operators.prep import channel, direct
     from sieveloom.plans import prep as pq
-    from sieveloom.plans.problems import key
+    from sieveloom.functions.keys import key
 
     rows = table(spark, d, "sms_dataset").filter(key("split") == "train").select("row_id", "clean").filter("clean is not null").distinct()
     lines = materialize(ngrams.lines(rows, "clean", "row_id"), "lines")
@@ -156,7 +156,7 @@ def _lane_model(spark, d):
 
 
 def _labelled(spark, d):
-    from sieveloom.plans.problems import key
+    from sieveloom.functions.keys import key
 
     return table(spark, d, "sms_dataset").filter(key("split").isin("dev", "test")).dropDuplicates(["row_id"])
 

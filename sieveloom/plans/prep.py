@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from sieveloom.functions.unicode import accent_key, fold_key, nfc, without_accents, words
 from sieveloom.operators import calibration, components, evaluate, prep
 from sieveloom.plans import checks, language
-from sieveloom.plans.problems import key
+from sieveloom.functions.keys import key
 from sieveloom.sources.tables import table
 
 QUERIES: dict = {}

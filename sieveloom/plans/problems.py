@@ -4,23 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveloom.functions.keys import key
 from sieveloom.operators import components, copies, overlaps, splits
 from sieveloom.operators.common import materialize
 from sieveloom.sources.tables import spread, table
 
-#: Blanks around a key, whatever their kind.
-_OUTER = r"^[\s\u00a0\u2000-\u200d\u2028\u2029\u202f\u2060\u3000\ufeff]+|[\s\u00a0\u2000-\u200d\u2028\u2029\u202f\u2060\u3000\ufeff]+$"
-
-
-def key(c: str | Column) -> Column:
-    """A key without case and outer blanks; null when nothing is left."""
-    got = F.lower(F.regexp_replace(F.col(c) if isinstance(c, str) else c, _OUTER, ""))
-    return F.when(got != "", got)
-
-
 def related_rows(spark: SparkSession, d: str) -> DataFrame:
     """(id, anchor) of the rows of sms_dataset that have any key."""
     rows = table(spark, d, "sms_dataset").select("row_id", key("group_id").alias("g"), F.col("template_id").alias("t"), F.when(F.col("author_id") != 0, F.col("author_id")).alias("a")).filter("row_id is not null")

@@ -12,7 +12,7 @@ from sieveloom.operators import ngrams as ng
 from sieveloom.operators.common import materialize
 from sieveloom.plans import language, prep
 from sieveloom.plans.language import r6
-from sieveloom.plans.problems import key
+from sieveloom.functions.keys import key
 from sieveloom.sources.tables import table
 
 QUERIES: dict = {}
