@@ -6,11 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blanks around a key, whatever their kind.
-_OUTER = r"^[\s\u00a0\u2000-\u200d\u2028\u2029\u202f\u2060\u3000\ufeff]+|[\s\u00a0\u2000-\u200d\u2028\u2029\u202f\u2060\u3000\ufeff]+$"
-
- ⁠　﻿]+|[\s  -‍
-
- ⁠　﻿]+$"
+_OUTER = r"^[\s  -‍   ⁠　﻿]+|[\s  -‍   ⁠　﻿]+$"
 
 
 def key(c: str | Column) -> Column:
