@@ -1,4 +1,4 @@
-"""Queries of the text problems: personal information (1), leaked items (4), packing (6), mixing (7), repetition (8)."""
+"""Queries of the training-text problems: personal information (1), splits (2), copies (3), leaked items (4), overlaps between splits (5), packing (6), mixing (7), repetition (8)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveloom.llm import leaks, mixing, packing, pii, repetition
+from sieveloom.llm import copies, leaks, mixing, overlaps, packing, pii, repetition, splits
+from sieveloom.operators import components
 from sieveloom.operators.common import materialize
 from sieveloom.functions.keys import key
 from sieveloom.sources.tables import spread, table
@@ -27,6 +28,64 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(messages(spark, d))
 
 
+def related_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(id, anchor) of the rows of sms_dataset that have any key."""
+    rows = table(spark, d, "sms_dataset").select("row_id", key("group_id").alias("g"), F.col("template_id").alias("t"), F.when(F.col("author_id") != 0, F.col("author_id")).alias("a")).filter("row_id is not null")
+    via = table(spark, d, "templates").select(F.col("template_id").alias("t"), key("template_group").alias("g"))
+    return components.related(rows, "row_id", ["t", "g", "a"], via={"t": via})
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return related_rows(spark, d).filter("anchor <> id").select(F.col("anchor").alias("anchor_row_id"), F.col("id").alias("row_id"))
+
+
+#: Splits of p2_splits and their shares of the rows.
+SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sms_dataset").select(F.col("row_id").alias("id"), F.col("profile").alias("label"))
+    return splits.assign(rows, related_rows(spark, d), "label", list(SPLITS), list(SPLITS.values())).select(F.col("id").alias("row_id"), "split")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and share of each split and label."""
+    got = materialize(p2_splits(spark, d), "splits")
+    labels = table(spark, d, "sms_dataset").groupBy("row_id").agg(F.min("profile").alias("profile"))
+    total = F.lit(float(max(1, got.count())))
+    return got.join(labels, "row_id").groupBy("split", "profile").agg(F.count(F.lit(1)).alias("row_count")).withColumn("share", F.col("row_count") / total)
+
+
+def _copy_records(spark: SparkSession, d: str) -> DataFrame:
+    return copies.structures(spread(table(spark, d, "corpus").select("id", "text")), "corpus", "id", "text").union(copies.structures(table(spark, d, "templates"), "templates", "template_id", "text", "slots"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies_found(_copy_records(spark, d))
+
+
+def p3_counted(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies_counted(_copy_records(spark, d))
+
+
+def split_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(id, side, text) of the corpus rows in train (1) and in dev or test (2)."""
+    split = key("split")
+    sides = table(spark, d, "split_index").select("row_index", F.when(split == "train", 1).when(split.isin("dev", "test"), 2).alias("side")).filter("side is not null").distinct()
+    return table(spark, d, "corpus").select("row_index", "id", "text").join(sides, "row_index").select("id", "side", "text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.cross_split(split_rows(spark, d))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs and evaluation records in pairs, per split and source of the evaluation record."""
+    split = table(spark, d, "split_index").select("row_index", key("split").alias("split")).filter("split in ('dev', 'test')").distinct()
+    rows = table(spark, d, "corpus").select("row_index", "id", "source_name").join(split, "row_index").select("id", "split", "source_name")
+    return overlaps.partners(split_rows(spark, d)).join(rows, "id").groupBy("split", "source_name").agg(F.sum("pairs").alias("pairs"), F.count_distinct("id").alias("records"))
+
+
 def held_out_items(spark: SparkSession, d: str) -> DataFrame:
     """(item_table, item_id, text): all of corpus_2, held-out templates, and corpus rows in dev or test."""
     fixed = table(spark, d, "corpus_2").select(F.lit("corpus_2").alias("item_table"), F.col("id").alias("item_id"), "text")
@@ -82,8 +141,13 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return repetition.measure(spread(table(spark, d, "documents").select("doc_id", "text", "lang")))
 
 
+_ALL = (
+    p1_found, p1_redacted, p2_found, p2_splits, p2_report, p3_found, p3_counted, p4_found, p4_report, p5_found, p5_report, p6_packed, p6_report, p7_mixed, p7_report, p8_found, p8_profile,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_report": p4_report, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_report": p7_report, "p8_found": p8_found, "p8_profile": p8_profile}
+    return {f.__name__: f for f in _ALL}
 
 
 _CASED = r"regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}\p{M}]+')"
