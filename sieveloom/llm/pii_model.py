@@ -43,13 +43,29 @@ class _CharIds(dict):
 CHAR_IDS = _CharIds()
 
 
-def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the folded text and, for each, its code point offset in the stored text."""
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    uniq, inv = np.unique(cps, return_inverse=True)
-    ids = np.array([CHAR_IDS[int(c)] for c in uniq], dtype=np.int16)[inv] if len(cps) else np.zeros(0, np.int16)
+#: Ids by code point, filled as code points occur; -1 where not yet known.
+_ID_TABLE = np.full(0x110000, -1, dtype=np.int16)
+
+
+def encode_all(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids of each folded text and, for each id, its code point offset in the stored text."""
+    cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ids = _ID_TABLE[cps]
+    if len(new := np.unique(cps[ids < 0])):
+        _ID_TABLE[new] = [CHAR_IDS[int(c)] for c in new]
+        ids = _ID_TABLE[cps]
     at = np.flatnonzero(ids)
-    return ids[at], at
+    ends = np.cumsum([len(t) for t in texts])
+    cuts = np.searchsorted(at, ends)
+    kept, out, a, start = ids[at], [], 0, 0
+    for b, end in zip(cuts, ends):
+        out.append((kept[a:b], at[a:b] - start))
+        a, start = b, end
+    return out
+
+
+def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return encode_all([text])[0]
 
 
 def cut(n: int) -> list[tuple[int, int, int, int]]:
@@ -100,10 +116,14 @@ class Tagger:
 
     def __init__(self, w: dict[str, np.ndarray]):
         self.w = {k: np.asarray(v, dtype=np.float32) for k, v in w.items()}
-        half = np.ones(4 * self.hidden, dtype=np.float32)
-        half[: 3 * self.hidden] = 0.5  # sigmoid(x) = (1 + tanh(x / 2)) / 2, so one tanh serves all four gates
-        self.table = (np.einsum("ve,deh->dvh", self.w["emb"], self.w["wx"]) + self.w["b"][:, None, :]) * half
-        self.wh = self.w["wh"] * half
+        h = self.hidden
+        half = np.ones(4 * h, dtype=np.float32)
+        half[: 3 * h] = 0.5  # sigmoid(x) = (1 + tanh(x / 2)) / 2, so tanh serves all four gates
+        table = (np.einsum("ve,deh->dvh", self.w["emb"], self.w["wx"]) + self.w["b"][:, None, :]) * half
+        # the state is kept doubled, which spares halving the output gate; the sigmoid gates and the new content lie apart, so that each is one contiguous block
+        wh, self.wo = self.w["wh"] * half * 0.5, self.w["wo"] * 0.5
+        self.gate_table, self.new_table = np.ascontiguousarray(table[:, :, : 3 * h]), np.ascontiguousarray(table[:, :, 3 * h :])
+        self.gate_wh, self.new_wh = np.ascontiguousarray(wh[:, :, : 3 * h]), np.ascontiguousarray(wh[:, :, 3 * h :])
         self.trans = self.w["trans"] + allowed()
 
     @property
@@ -120,80 +140,84 @@ class Tagger:
         """Label scores (length x labels) of each window; windows should be sorted by length so that little padding is computed."""
         ids, lens = pad_windows(parts)
         n, steps, h_n = len(parts), ids.shape[2], self.hidden
-        h = np.zeros((2, n, h_n), dtype=np.float32)
-        c = np.zeros_like(h)
-        out = np.empty((steps, 2, n, h_n), dtype=np.float32)
-        both = np.arange(2)[:, None]
+        order = ids.transpose(0, 2, 1).astype(np.intp)
+        h, c, u, more_u = (np.zeros((2, n, h_n), dtype=np.float32) for _ in range(4))
+        z, more_z = np.empty((2, n, 3 * h_n), np.float32), np.empty((2, n, 3 * h_n), np.float32)
+        out = np.empty((2, steps, n, h_n), dtype=np.float32)
+        i, f, o = z[:, :, :h_n], z[:, :, h_n : 2 * h_n], z[:, :, 2 * h_n :]
         for t in range(steps):
-            z = np.matmul(h, self.wh)
-            z += self.table[both, ids[:, :, t]]
+            for d in (0, 1):
+                np.take(self.gate_table[d], order[d, t], axis=0, out=z[d], mode="clip")
+                np.take(self.new_table[d], order[d, t], axis=0, out=u[d], mode="clip")
+            z += np.matmul(h, self.gate_wh, out=more_z)
+            u += np.matmul(h, self.new_wh, out=more_u)
             np.tanh(z, out=z)
-            s = z[:, :, : 3 * h_n]
-            s += 1.0
-            s *= 0.5
-            c *= z[:, :, h_n : 2 * h_n]
-            c += z[:, :, :h_n] * z[:, :, 3 * h_n :]
-            h = np.tanh(c)
-            h *= z[:, :, 2 * h_n : 3 * h_n]
-            out[t] = h
-        wo, bo = self.w["wo"], self.w["bo"]
-        fwd, bwd = out[:, 0] @ wo[:h_n] + bo, out[:, 1] @ wo[h_n:]
+            np.tanh(u, out=u)
+            z += 1.0
+            c *= f
+            u *= i
+            c += u
+            c *= 0.5
+            np.tanh(c, out=h)
+            h *= o
+            out[:, t] = h
+        fwd = out[0].reshape(-1, h_n) @ self.wo[:h_n]
+        fwd += self.w["bo"]
+        bwd = (out[1].reshape(-1, h_n) @ self.wo[h_n:]).reshape(steps, n, N_LABELS)
+        fwd = fwd.reshape(steps, n, N_LABELS)
         return [fwd[:m, k] + bwd[:m, k][::-1] for k, m in enumerate(lens)]
 
     def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Best label path of each text over all of its characters."""
+        """Best label path of each text over all of its characters. Forward only the scores are kept; the way back asks for the best predecessor of the labels on the path."""
         order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
         lens = np.array([len(scores[k]) for k in order])
         steps = int(lens[0])
-        em = np.zeros((steps, len(order), N_LABELS), dtype=np.float32)
+        em = np.zeros((len(order), steps, N_LABELS), dtype=np.float32)
         for r, k in enumerate(order):
-            em[: lens[r], r] = scores[k]
+            em[r, : lens[r]] = scores[k]
+        best = np.ascontiguousarray(em.transpose(1, 2, 0))  # (steps, labels, texts), turned into the best score of a path that ends there
         live = np.searchsorted(-lens, -np.arange(steps), side="left")  # texts longer than t come first
-        best = em[0] + self.w["start"] + np.array([-1e4 if x[0] == "I" else 0.0 for x in LABELS], dtype=np.float32)
-        back = np.zeros((steps, len(order), N_LABELS), dtype=np.int8)
-        final = best.copy()
+        inner = np.array([k for k, x in enumerate(LABELS) if x[0] == "I"])
+        outer = np.array([k for k, x in enumerate(LABELS) if x[0] != "I"])
+        into = np.ascontiguousarray(self.trans[:, outer])[:, :, None]
+        begun, kept = self.trans[inner - 1, inner][:, None], self.trans[inner, inner][:, None]
+        best[0] += (self.w["start"] + np.array([-1e4 if x[0] == "I" else 0.0 for x in LABELS], dtype=np.float32))[:, None]
         for t in range(1, steps):
             m = live[t]
-            cand = best[:m, :, None] + self.trans
-            arg = cand.argmax(axis=1)
-            back[t, :m] = arg
-            best = np.take_along_axis(cand, arg[:, None, :], axis=1)[:, 0] + em[t, :m]
-            final[:m] = best
-        paths = [np.zeros(0, np.int8)] * len(order)
-        now = (final + self.w["end"]).argmax(axis=1)
+            p = best[t - 1, :, :m]
+            best[t, outer, :m] += (p[:, None, :] + into).max(axis=0)
+            best[t, inner, :m] += np.maximum(p[inner - 1] + begun, p[inner] + kept)
+        ends = best[lens - 1, :, np.arange(len(order))] + self.w["end"]
+        now = ends.argmax(axis=1)
         path = np.zeros((steps, len(order)), dtype=np.int8)
+        backward = np.ascontiguousarray(self.trans.T)
         for t in range(steps - 1, -1, -1):
             m = live[t]
             path[t, :m] = now[:m]
             if t:
-                now[:m] = back[t, np.arange(m), now[:m]]
+                now[:m] = (best[t - 1, :, :m].T + backward[now[:m]]).argmax(axis=1)
+        paths = [np.zeros(0, np.int8)] * len(order)
         for r, k in enumerate(order):
             paths[k] = path[: lens[r], r]
         return paths
 
-    def tag(self, texts: list[str], batch_chars: int = 200_000) -> list[list[tuple[str, int, int]]]:
-        """(kind, start, end) of each text, as code point offsets. Windows of all texts are run sorted by length; each text is then decoded once over
+    def tag(self, texts: list[str], rows: int = 384, chars: int = 400_000) -> list[list[tuple[str, int, int]]]:
+        """(kind, start, end) of each text, as code point offsets. Windows of all texts are run sorted by length, so many rows at a time; each text is then decoded once over
         its whole length from the reconciled window scores."""
-        enc = [encode(t) for t in texts]
+        enc = encode_all(texts)
         wins = [(k, *w) for k, (ids, _) in enumerate(enc) for w in cut(len(ids))]
         wins.sort(key=lambda w: w[2] - w[1])
         scores = [np.empty((len(ids), N_LABELS), dtype=np.float32) for ids, _ in enc]
-        i = 0
-        while i < len(wins):
-            j, longest = i, 1
-            while j < len(wins) and (j - i + 1) * max(longest, wins[j][2] - wins[j][1]) <= batch_chars:
-                longest = max(longest, wins[j][2] - wins[j][1])
-                j += 1
-            j = max(j, i + 1)
-            for (k, s, _, a, b), em in zip(wins[i:j], self.emissions([enc[k][0][s:e] for k, s, e, _, _ in wins[i:j]])):
+        for i in range(0, len(wins), rows):
+            some = wins[i : i + rows]
+            for (k, s, _, a, b), em in zip(some, self.emissions([enc[k][0][s:e] for k, s, e, _, _ in some])):
                 scores[k][a:b] = em[a - s : b - s]
-            i = j
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         todo = sorted((k for k in range(len(texts)) if len(scores[k])), key=lambda k: len(scores[k]))
         i = 0
         while i < len(todo):
             j = i
-            while j < len(todo) and (j - i + 1) * len(scores[todo[j]]) <= 4 * batch_chars:
+            while j < len(todo) and j - i < 2 * rows and (j - i + 1) * len(scores[todo[j]]) <= chars:
                 j += 1
             j = max(j, i + 1)
             for k, path in zip(todo[i:j], self.viterbi([scores[k] for k in todo[i:j]])):
