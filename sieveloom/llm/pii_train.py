@@ -2,8 +2,8 @@
 
     python -m sieveloom.llm.pii_train DIR [OUT [MINUTES [START]]]
 
-Labelled spans come from sentence carriers ("goi PHONE hoac PHONE", "giao toi ADDRESS") found in at most MAX_ROWS messages of DIR; the carriers serve
-here only, to label: tagging uses the network alone.
+Labelled spans come from two sources: sentence carriers ("goi PHONE hoac PHONE", "giao toi ADDRESS") found in at most MAX_ROWS messages of DIR, drawn by hash from both tables, and MADE sentences of
+pii_synth, whose labels are exact. Carriers and made sentences serve here only, to label: tagging uses the network alone.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ import time
 
 import numpy as np
 
-from sieveloom.llm.pii_model import ALPHABET, KINDS, LABELS, N_LABELS, OTHER, VOCAB, Tagger, allowed, cut, encode, pad_windows
+from sieveloom.llm.pii_model import ALPHABET, KINDS, LABELS, N_LABELS, OTHER, VOCAB, Tagger, allowed, cut, encode, encode_all, pad_windows
 
-#: Bound of the labelled sample.
-MAX_ROWS = 24_000
+#: Bound of the labelled sample, and number of made sentences.
+MAX_ROWS, MADE = 24_000, 60_000
 HIDDEN, EMB = 40, 20
 
 _B = r"[ \n]*"
@@ -66,6 +66,17 @@ def label(ids: np.ndarray) -> tuple[np.ndarray, int]:
     return y, n
 
 
+def label_spans(at: np.ndarray, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Labels of a folded text whose characters stand at the offsets `at`, from (kind, start, end)."""
+    y = np.zeros(len(at), dtype=np.int8)
+    for kind, a, b in spans:
+        s, e = np.searchsorted(at, [a, b])
+        if e > s:
+            y[s] = LABELS.index(f"B-{kind}")
+            y[s + 1 : e] = y[s] + 1
+    return y
+
+
 def _crf_grad(em: np.ndarray, y: np.ndarray, lens: np.ndarray, w: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Negative log-likelihood and its gradients. em: (steps, windows, labels)."""
     steps, n, k = em.shape
@@ -175,19 +186,28 @@ _LOWER[[ALPHABET.index(c) + 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = [ALPHABE
 
 
 def disturbed(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A window with some characters unknown and, in one of four, its names in lower case, as careless writers have them."""
+    """A window with some characters unknown and, in one of four, its names (in one of ten, all of it) in lower case, as careless writers have them."""
     x = np.where(rng.random(len(x)) < 0.02, OTHER, x)
-    return np.where(y >= LABELS.index("B-person_name"), _LOWER[x], x) if rng.random() < 0.25 else x
+    u = rng.random()
+    return _LOWER[x] if u < 0.1 else np.where(y >= LABELS.index("B-person_name"), _LOWER[x], x) if u < 0.35 else x
+
 
+def labelled(texts: list[str], made: list[tuple[str, list[tuple[str, int, int]]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows (ids, labels) of messages, labelled by carriers, and of made sentences."""
+    rows = []
+    for ids, _ in encode_all(texts):
+        rows.append((ids, label(ids)[0]))
+    for (ids, at), (_, spans) in zip(encode_all([t for t, _ in made]), made):
+        rows.append((ids, label_spans(at, spans)))
+    return [(ids[s:e], y[s:e]) for ids, y in rows for s, e, _, _ in cut(len(ids))]
 
-def fit(texts: list[str], minutes: float = 10.0, seed: int = 7, batch: int = 24, workers: int = 8, start: dict[str, np.ndarray] | None = None, log=print) -> dict[str, np.ndarray]:
+
+def fit(
+    texts: list[str], made: list[tuple[str, list[tuple[str, int, int]]]] = (), minutes: float = 10.0, seed: int = 7, batch: int = 24, workers: int = 8, start: dict[str, np.ndarray] | None = None, peak: float = 5e-3, log=print,
+) -> dict[str, np.ndarray]:
     """Weights after Adam over windows of the labelled texts for the given time, from random ones or from `start`; each step sums the gradients of one batch a worker process."""
     rng = np.random.default_rng(seed)
-    windows: list[tuple[np.ndarray, np.ndarray]] = []
-    for t in texts:
-        ids, _ = encode(t)
-        y, _ = label(ids)
-        windows += [(ids[s:e], y[s:e]) for s, e, _, _ in cut(len(ids))]
+    windows = labelled(texts, list(made))
     windows.sort(key=lambda x: len(x[0]))
     batches = [windows[i : i + batch] for i in range(0, len(windows), batch)]
     w = {
@@ -204,13 +224,14 @@ def fit(texts: list[str], minutes: float = 10.0, seed: int = 7, batch: int = 24,
     pool = multiprocessing.get_context("fork").Pool(workers)
     while time.time() - began < 60 * minutes:
         total, chars = 0.0, 0
-        order = rng.permutation(len(batches))
-        for at in range(0, len(order), workers):
+        for at in rng.permutation(len(batches) // workers + 1) * workers:  # batches of like lengths are done side by side
             done = (time.time() - began) / (60 * minutes)
             if done >= 1:
                 break
-            rate = (6e-3 if start is None else 1.5e-3) * (1 - done) + 1e-4
-            jobs = [(w, [disturbed(x, y, rng) for x, y in batches[b]], [y for _, y in batches[b]]) for b in order[at : at + workers]]
+            rate = peak * (1 - done) + 1e-4
+            jobs = [(w, [disturbed(x, y, rng) for x, y in batches[b]], [y for _, y in batches[b]]) for b in range(at, min(at + workers, len(batches)))]
+            if not jobs:
+                continue
             got = pool.map(_share, jobs, chunksize=1)
             rows = sum(len(j[1]) for j in jobs)
             g = {k: sum(x[1][k] for x in got) for k in w}
@@ -243,20 +264,36 @@ def evaluate(tagger: Tagger, texts: list[str]) -> dict[str, tuple[int, int, int]
     return {k: tuple(v) for k, v in out.items()}
 
 
-def sample(folder: str) -> list[str]:
-    """At most MAX_ROWS distinct messages of the two tables, in a fixed order."""
+def score(tagger: Tagger, rows: list[tuple[str, list[tuple[str, int, int]]]]) -> dict[str, tuple[int, int, int]]:
+    """(hits, missed, extra) by kind of texts with known spans; a hit has the same kind and start."""
+    out = {k: [0, 0, 0] for k in KINDS}
+    for (_, spans), got in zip(rows, tagger.tag([t for t, _ in rows])):
+        gold, mine = {(k, s) for k, s, _ in spans}, {(k, s) for k, s, _ in got}
+        for k, hit in [(k, 0) for k, _ in gold & mine] + [(k, 1) for k, _ in gold - mine] + [(k, 2) for k, _ in mine - gold]:
+            out[k][hit] += 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def sample(folder: str, most: int = MAX_ROWS) -> list[str]:
+    """At most `most` distinct messages of the two tables, drawn by hash from both alike."""
     import pyarrow.parquet as pq
+    import xxhash
 
     texts = pq.read_table(f"{folder}/corpus.parquet", columns=["text"])["text"].to_pylist()
     texts += [x["input_text"] if x else None for x in pq.read_table(f"{folder}/special_case_results.parquet", columns=["result"])["result"].to_pylist()]
-    return list(dict.fromkeys(t for t in texts if t))[:MAX_ROWS]
+    return sorted({t for t in texts if t}, key=lambda t: (xxhash.xxh3_64_intdigest(t), t))[:most]
 
 
 def main(argv: list[str]) -> None:
-    weights = fit(sample(argv[0]), minutes=float(argv[2]) if len(argv) > 2 else 10.0, start=Tagger.load(argv[3]).w if len(argv) > 3 else None)
+    from sieveloom.llm import pii_synth
+
+    rows = sample(argv[0])
+    words = pii_synth.vocabularies(rows)
+    made = pii_synth.texts(MADE, words)
+    weights = fit(rows, made, minutes=float(argv[2]) if len(argv) > 2 else 10.0, start=Tagger.load(argv[3]).w if len(argv) > 3 else None)
     out = argv[1] if len(argv) > 1 else __file__.replace("pii_train.py", "pii_weights.npz")
     np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in weights.items()})
-    print(evaluate(Tagger.load(out), sample(argv[0])[:2000]))
+    print("made sentences not trained on (hits, missed, extra):", score(Tagger.load(out), pii_synth.texts(2000, words, seed=99)))
 
 
 if __name__ == "__main__":

@@ -21,11 +21,12 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find(messages(spark, d)).select("record_table", "record_key", "pii_kind", "char_start").distinct()
+    """Values of the forms that these tables ask for: national subscriber and identity numbers."""
+    return pii.find(messages(spark, d), forms=pii.national).select("record_table", "record_key", "pii_kind", "char_start").distinct()
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(messages(spark, d))
+    return pii.redact(messages(spark, d), forms=pii.national)
 
 
 def related_rows(spark: SparkSession, d: str) -> DataFrame:
