@@ -230,6 +230,27 @@ def test_pivotal_step_keeps_mass_and_is_unbiased():
     assert abs(up / 4000 - 0.3) < 0.02
 
 
+def test_settling_is_unbiased_and_keeps_mass():
+    total = up = 0.0
+    for k in range(4000):
+        p, rate = mixing.settle((k, 500, 0.3), 0.8, 2.0, 1000.0, 5)
+        assert abs(500 * p + 1000 * rate - 950) < 1e-6 and p in (0.0, 1.0) and 0 <= rate <= 2
+        up += p
+        total += rate
+    assert abs(up / 4000 - 0.3) < 0.03 and abs(total / 4000 - 0.8) < 0.02
+    assert mixing.settle(("d", 10, 0.5), 0.0, 0.0, 100.0, 1) == (0.5, 0.0)
+
+
+def test_mixing_meets_shares_beside_huge_documents(spark):
+    """One document of each source holds a tenth of its tokens; the smaller ones make good for it."""
+    docs = [(i, "ab"[i % 2], "chữ " * (1 + i % 50)) for i in range(2000)] + [(5000, "a", "dài " * 2500), (5001, "b", "dài " * 2500)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(6)
+    sums = Counter()
+    for r in mixing.mix(df, {"a": (0.3, 1), "b": (0.7, 1)}).collect():
+        sums[r["source_name"]] += r["tokens"] * r["copies"]
+    assert abs(sums["a"] / sum(sums.values()) - 0.3) < 0.002
+
+
 def test_found_queries_against_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in table(spark, D, "documents").collect()]
     items = [tuple(r) for r in queries.held_out_items(spark, D).collect()]
