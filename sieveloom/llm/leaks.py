@@ -1,9 +1,13 @@
-"""Held-out items in training documents (problem 4): a prefix-filtered join on rare shingles, then exact windows.
+"""Held-out items in training documents (problem 4): a prefix-filtered set join on rare shingles, then word-for-word comparison of item-sized windows.
 
 Two texts share WINDOW consecutive words only if they share a window of that length, and equal windows have the same rarest shingle of SHINGLE words. So each text
 is indexed by the rarest shingle of each of its windows (its necessary prefix token) alone: rarity is the count of the shingle's rarest word over all documents,
-kept in a table of fixed size, ties going by hash. Documents and items that share such a token are then joined on the windows around it, by a 128-bit digest of the
-window's words; an item's windows lie within the item, whatever the document's length.
+kept in a table of fixed size, ties going by hash. A document's token is kept if some item has it with enough words around it: of the words before and after the shingle, at most as many count as the
+shorter of the two texts has there, and both together must fill a window (the bounds by position and length). Around what is kept, windows are joined by a 128-bit digest. Of each document and item that meet, the
+document's window of the item's size, laid so that the shared words lie upon each other, is compared with the item word for word: a run of WINDOW equal words must stand there.
+
+Joins are by token, by window and by item, with many rows on the documents' side only; skewed partitions of such joins are split by adaptive execution. A document's matches are compared in
+lists of about LIST.
 
 Defined results: null and empty texts and items of under WINDOW words never count; equal items are matched once and expanded at the end; repeated ids give one row;
 other columns are ignored; a text of any length is taken whole.
@@ -22,7 +26,7 @@ from sieveloom.functions.text import WordHashes, folded_words, map_batches, shin
 from sieveloom.llm.repetition import groups
 from sieveloom.operators.common import materialize
 
-SHINGLE, WINDOW = 5, 12
+SHINGLE, WINDOW, LIST = 5, 12, 1000
 _SPAN = WINDOW - SHINGLE + 1
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -61,7 +65,7 @@ def prefix_tokens(words: list[list[str]], hashes: WordHashes, counts: np.ndarray
 
 
 def tokens(df: DataFrame, id_col: str, text_col: str, counts: np.ndarray) -> DataFrame:
-    """(token, id, pos) of the prefix tokens of each text."""
+    """(token, id, pos, before, after) of the prefix tokens of each text, with the number of words around the shingle that a window can take in."""
     hashes = WordHashes()
     kind = df.schema[id_col].dataType.simpleString()
     held = df.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
@@ -69,29 +73,70 @@ def tokens(df: DataFrame, id_col: str, text_col: str, counts: np.ndarray) -> Dat
     def kernel(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         ts, parts = texts.to_pylist(), []
         for a, b in groups([t or "" for t in ts]):
-            who, pos, gram = prefix_tokens([folded_words(t) if t else [] for t in ts[a:b]], hashes, held.value)
-            parts.append((who + a, pos, gram))
-        who, pos, gram = (np.concatenate(x) for x in zip(*parts))
-        return pa.record_batch([pa.array(gram.view(np.int64)), ids.take(pa.array(who)), pa.array(pos.astype(np.int32))], names=["token", "id", "pos"])
+            words = [folded_words(t) if t else [] for t in ts[a:b]]
+            who, pos, gram = prefix_tokens(words, hashes, held.value)
+            after = np.array([len(w) for w in words])[who] - SHINGLE - pos
+            parts.append((who + a, pos, after, gram))
+        who, pos, after, gram = (np.concatenate(x) for x in zip(*parts))
+        small = lambda x: pa.array(np.minimum(x, _SPAN - 1).astype(np.int8))
+        return pa.record_batch([pa.array(gram.view(np.int64)), ids.take(pa.array(who)), pa.array(pos.astype(np.int32)), small(pos), small(after)], names=["token", "id", "pos", "before", "after"])
 
-    return map_batches(df, [id_col, text_col], kernel, f"token long, id {kind}, pos int")
+    return map_batches(df, [id_col, text_col], kernel, f"token long, id {kind}, pos int, before byte, after byte")
 
 
 def windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(w1, w2, id): digests of the windows that hold one of the shingles at the positions in `at`."""
+    """(w1, w2, id, pos, n): digests of the windows that hold one of the shingles at the positions in `at`, where they start, and the number of words of the text."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def kernel(ids: pa.Array, texts: pa.Array, ats: pa.Array) -> pa.RecordBatch:
-        digests, who = [], []
+        digests, who, pos, size = [], [], [], []
         for k, (t, at) in enumerate(zip(texts.to_pylist(), ats.to_pylist())):
             words = folded_words(t)
             for s in sorted({i for p in at for i in range(max(0, p - _SPAN + 1), min(p, len(words) - WINDOW) + 1)}):
                 digests.append(xxhash.xxh3_128_digest(" ".join(words[s : s + WINDOW])))
                 who.append(k)
+                pos.append(s)
+                size.append(len(words))
         both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-        return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), ids.take(pa.array(who, pa.int64()))], names=["w1", "w2", "id"])
+        return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), ids.take(pa.array(who, pa.int64())), pa.array(pos, pa.int32()), pa.array(size, pa.int32())], names=["w1", "w2", "id", "pos", "n"])
+
+    return map_batches(df, [id_col, text_col, "at"], kernel, f"w1 long, w2 long, id {kind}, pos int, n int")
+
+
+def shares_run(window: list[str], item: list[str], at: int) -> bool:
+    """Do the words of the window, whose first one lies upon the item's word `at`, equal the item's over WINDOW words in a row?"""
+    run = 0
+    for x, y in zip(window, item[at:]):
+        run = run + 1 if x == y else 0
+        if run == WINDOW:
+            return True
+    return False
+
+
+def _verified(met: DataFrame, docs: DataFrame, texts: DataFrame, id_col: str) -> DataFrame:
+    """(id, cls) of the pairs of met (id, cls, n, best: (dpos, ipos)) whose words agree. docs: (id_col, text); texts: (cls, text)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    sizes = met.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    lists = met.join(sizes, "id").withColumn("part", F.pmod(F.xxhash64("cls"), F.floor(F.col("k") / LIST) + 1)).groupBy(F.col("id").alias(id_col), "part").agg(F.collect_list(F.struct("cls", "n", "best.dpos", "best.ipos")).alias("hits"))
+
+    def cut_out(ids: pa.Array, ts: pa.Array, hits: pa.Array) -> pa.RecordBatch:
+        who, cls, at, window = [], [], [], []
+        for k, (t, hs) in enumerate(zip(ts.to_pylist(), hits.to_pylist())):
+            words = folded_words(t)
+            for h in hs:
+                first = h["dpos"] - h["ipos"]
+                who.append(k)
+                cls.append(h["cls"])
+                at.append(max(0, -first))
+                window.append(" ".join(words[max(0, first) : first + h["n"]]))
+        return pa.record_batch([ids.take(pa.array(who, pa.int64())), pa.array(cls, pa.binary()), pa.array(at, pa.int32()), pa.array(window, pa.string())], names=["id", "cls", "at", "window"])
+
+    def compare(ids: pa.Array, cls: pa.Array, ats: pa.Array, ws: pa.Array, ts: pa.Array) -> pa.RecordBatch:
+        keep = pa.array([k for k, (a, w, t) in enumerate(zip(ats.to_pylist(), ws.to_pylist(), ts.to_pylist())) if shares_run(w.split(), t.split(), a)], pa.int64())
+        return pa.record_batch([ids.take(keep), cls.take(keep)], names=["id", "cls"])
 
-    return map_batches(df, [id_col, text_col, "at"], kernel, f"w1 long, w2 long, id {kind}")
+    laid = map_batches(docs.select(id_col, "text").join(lists, id_col), [id_col, "text", "hits"], cut_out, f"id {kind}, cls binary, at int, window string")
+    return map_batches(laid.join(texts, "cls"), ["id", "cls", "at", "window", "text"], compare, f"id {kind}, cls binary")
 
 
 def item_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,10 +160,13 @@ def leaked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFra
     texts = materialize(texts, "classes")
     item_tokens = materialize(tokens(texts, "cls", "text", counts), "item_tokens")
     doc_tokens = tokens(docs, id_col, "text", counts)
-    shared = materialize(doc_tokens.join(item_tokens.select("token").distinct(), "token", "left_semi"), "shared")
+    bounds = item_tokens.select("token", F.col("before").alias("b"), F.col("after").alias("a")).distinct()
+    room = F.least("before", "b") + F.least("after", "a") >= _SPAN - 1
+    shared = materialize(doc_tokens.join(bounds, (doc_tokens["token"] == bounds["token"]) & room, "left_semi").select("token", "id", "pos"), "shared")
     doc_at = shared.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at")).withColumnRenamed("id", id_col)
     item_at = item_tokens.join(shared.select("token").distinct(), "token", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at")).withColumnRenamed("id", "cls")
-    doc_windows = windows(docs.select(id_col, "text").join(doc_at, id_col), id_col, "text").distinct()
-    item_windows = windows(texts.join(item_at, "cls"), "cls", "text").withColumnRenamed("id", "cls").distinct()
-    pairs = doc_windows.join(item_windows, ["w1", "w2"]).select(F.col("id").alias(id_col), "cls").distinct()
-    return pairs.join(members, "cls").select(id_col, "item_table", "item_id").distinct()
+    doc_windows = windows(docs.select(id_col, "text").join(doc_at, id_col), id_col, "text").select("w1", "w2", "id", F.col("pos").alias("dpos"))
+    item_windows = windows(texts.join(item_at, "cls"), "cls", "text").groupBy("w1", "w2", F.col("id").alias("cls"), "n").agg(F.min("pos").alias("ipos"))
+    met = materialize(doc_windows.join(item_windows, ["w1", "w2"]).groupBy("id", "cls", "n").agg(F.min(F.struct("dpos", "ipos")).alias("best")), "met")
+    pairs = _verified(met, docs, texts, id_col)
+    return pairs.join(members, "cls").select(F.col("id").alias(id_col), "item_table", "item_id").distinct()

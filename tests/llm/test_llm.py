@@ -155,7 +155,8 @@ def brute_leaks(docs, items):
     return out
 
 
-def test_leaks_against_brute_force(spark):
+def test_leaks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "LIST", 2)
     rng = random.Random(6)
     word = lambda: rng.choice("abcdeđ") + str(rng.randrange(4))
     items = [("x", f"i{k}", " ".join(word() for _ in range(rng.randrange(8, 40)))) for k in range(60)]
@@ -167,6 +168,7 @@ def test_leaks_against_brute_force(spark):
         s = src.split()
         a = rng.randrange(len(s) + 1)
         docs.append((d, ", ".join(w + s[a : a + rng.randrange(6, 30)] + w[:5])))
+    docs += [(600 + k, items[k % 60][2]) for k in range(90)]
     docs += [(500, None), (501, ""), (502, "b1 " * 60000 + items[2][2]), (502, "b1 " * 60000 + items[2][2]), (503, "A a " * 8)]
     df = spark.createDataFrame([(d, t, "q", 1) for d, t in docs], "doc_id long, text string, id string, pos int")
     it = spark.createDataFrame([(*x, "q") for x in items], "item_table string, item_id string, text string, cls string")
@@ -174,6 +176,13 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked(df.limit(0), it).count() == 0 and leaks.leaked(df, it.limit(0)).count() == 0
 
 
+def test_leaks_are_compared_word_for_word():
+    """Equal digests alone make no match: the run of words itself must stand in the window laid upon the item."""
+    item = [f"w{i}" for i in range(20)]
+    assert leaks.shares_run(item[3:15], item, 3) and leaks.shares_run(["x", *item[1:13]], item, 0)
+    assert not leaks.shares_run(item[3:14], item, 3) and not leaks.shares_run(item[3:15], item, 2) and not leaks.shares_run([*item[:8], "x", *item[9:19]], item, 0)
+
+
 @pytest.mark.parametrize("fan, most", [(16, 64), (2, 3)])
 def test_packing_is_an_exact_round_trip(spark, monkeypatch, fan, most):
     monkeypatch.setattr(packing, "FAN", fan)
