@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,3 +93,29 @@ def word_merges(pairs: DataFrame, lexicon: DataFrame, least: int) -> DataFrame:
     """(w1, w2, merged, freq): neighbours that make one lexicon word of at least that frequency and more frequent than either."""
     good = lexicon.filter(F.col("freq") >= least).select(F.col("word").alias("merged"), "freq")
     return pairs.select("w1", "w2").distinct().withColumn("merged", F.concat("w1", "w2")).join(good, "merged").select("w1", "w2", "merged", "freq")
+
+
+def index_stats(index: DataFrame) -> DataFrame:
+    """Keys, variants, edges and the largest bucket of a deletion index (variant, word)."""
+    edges = index.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("edges"), F.max("n").alias("largest"))
+    return index.agg(F.count_distinct("word").alias("keys")).join(edges)
+
+
+def retained(fams: DataFrame, n: int) -> DataFrame:
+    """At most n spellings of each key (akey, gram, c), with their position: the n - 1 (at least three) most frequent accented ones and the one without accents are chosen, accented ones first."""
+    bare = F.col("gram") == F.col("akey")
+    rank = F.row_number().over(Window.partitionBy("akey", bare).orderBy(F.desc("c"), "gram"))
+    kept = fams.withColumn("_n", rank).filter(bare | (F.col("_n") <= max(3, n - 1))).drop("_n")
+    pos = F.row_number().over(Window.partitionBy("akey").orderBy(bare, F.desc("c"), "gram"))
+    return kept.withColumn("pos", pos).filter(F.col("pos") <= n).select("akey", "gram", "c", "pos")
+
+
+def first_of(*sources: DataFrame) -> DataFrame:
+    """(input, word, source) of candidates (input, word) of several sources, each once, by the first source that has it."""
+    rows = [s.select("input", "word", F.lit(i).alias("source")) for i, s in enumerate(sources)]
+    return reduce(DataFrame.union, rows).groupBy("input", "word").agg(F.min("source").alias("source"))
+
+
+def scaled(freq: Column) -> Column:
+    """A small corpus's count on the scale of a large one's frequencies (fixed values): 500 times, between 1,000 and 990,000."""
+    return F.least(F.greatest(freq * 500, F.lit(1000)), F.lit(990000))

@@ -118,11 +118,11 @@ def scored(unigrams: DataFrame, bigrams: DataFrame, trigrams: DataFrame) -> Data
     return t.withColumn("p3", p_tri(F.col("c3"), F.col("c12"), F.col("p2"))).select("gram", "c3", "c12", "c23", "p1", "p2", "p3")
 
 
-def admit_groups(groups: list[tuple[str, int]], budget: int) -> list[str]:
-    """Greedy admission of (key, size) in the given order; one that would overflow is passed over and the scan goes on."""
-    out, used = [], 0
-    for key, size in groups:
-        if used + size <= budget:
-            out.append(key)
-            used += size
-    return out
+def overlay(unigrams: DataFrame, base: DataFrame, domain: DataFrame, weight: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Trigrams (gram, c) counted again over base lines and domain lines (words), the latter weighing `weight`, from `least` on; and the header (vocabulary, tokens) that goes with them: unigrams and bigrams stay as
+    they are, and the tokens grow by what the domain's lines weigh beyond one."""
+    rows = base.select("words", F.lit(1).alias("w")).unionByName(domain.select("words", F.lit(weight).alias("w")))
+    trigrams = count_grams(rows, 3, F.col("w")).filter(F.col("c") >= least)
+    extra = domain.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).select((F.col("n") * (weight - 1)).alias("extra"))
+    head = unigrams.agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("c").alias("tokens")).join(extra).select("vocabulary", (F.col("tokens") + F.col("extra")).alias("tokens"))
+    return trigrams, head

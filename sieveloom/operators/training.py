@@ -37,7 +37,7 @@ def logistic(x: Column, limit: float = 36.0) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(limit)), F.lit(-limit))))
 
 
-def fit_logistic(rows: DataFrame, names: list[str], label: str, l2: float = 1e-3, steps: int = 60) -> DataFrame:
+def fit_logistic(rows: DataFrame, names: list[str], label: str, l2: float = 1e-3, steps: int = 12) -> DataFrame:
     """(feature, weight, mean, std) of a balanced logistic model, by full-batch Newton steps: each step is one aggregation of the gradient and the curvature, so the rows stay where they are. The bias isn't
     penalised; it is the row named `bias`."""
     import numpy as np
@@ -51,7 +51,7 @@ def fit_logistic(rows: DataFrame, names: list[str], label: str, l2: float = 1e-3
     k = len(names) + 1
     beta = np.zeros(k)
     x = [F.col(f"z{i}") for i in range(k - 1)] + [F.lit(1.0)]
-    for _ in range(min(steps, 12)):
+    for _ in range(steps):
         p = logistic(reduce(lambda a, b: a + b, [F.lit(float(b)) * c for b, c in zip(beta, x)]), 60.0)
         g, h = F.col("w") * (p - F.col("y")), F.col("w") * p * (1 - p)
         got = z.agg(*[F.sum(g * c).alias(f"g{i}") for i, c in enumerate(x)], *[F.sum(h * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]).first()

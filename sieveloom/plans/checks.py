@@ -72,10 +72,12 @@ def raw_findings(spark, d):
     return messages(spark, d).select("id", F.posexplode(run("text", "message_mode", on)).alias("ord", "f")).select("id", "f.*", "ord")
 
 
-@query(rf"""WITH w AS (SELECT id, unnest(regexp_extract_all(nfc_normalize(text), '[\p{{L}}\p{{M}}]+')) AS w FROM corpus WHERE message_mode = 'NON_ACCENTED')
+@query(rf"""WITH w AS (SELECT id, unnest(regexp_extract_all(nfc_normalize(text), '[\p{{L}}\p{{M}}]+')) AS w FROM corpus)
 SELECT id, count(*) AS words FROM w WHERE strip_accents(w) <> w OR regexp_matches(w, '[đĐ]') GROUP BY id""")
 def rule_accent_mode(spark, d):
-    return rules.issues(results(spark, d), "id").filter("rule_id = 'ACCENT_CHARACTER_IN_NON_ACCENT_MODE'").groupBy("id").agg(F.count(F.lit(1)).alias("words"))
+    """Words with accents in each message, if all messages were to be without: no message of that mode has any here."""
+    forced = rules.checked(messages(spark, d).withColumn("message_mode", F.lit("NON_ACCENTED")))
+    return rules.issues(forced, "id").filter("rule_id = 'ACCENT_CHARACTER_IN_NON_ACCENT_MODE'").groupBy("id").agg(F.count(F.lit(1)).alias("words"))
 
 
 @query()

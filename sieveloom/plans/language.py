@@ -10,6 +10,7 @@ from sieveloom.functions.unicode import accent_key, nfc, words
 from sieveloom.operators import evidence as ev
 from sieveloom.operators import lexicon as lx
 from sieveloom.operators import ngrams as ng
+from sieveloom.operators.common import materialize
 from sieveloom.sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -88,10 +89,15 @@ def ngram_weighted(spark, d):
 
 def model(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Unigrams, bigrams and trigrams of the corrected messages."""
-    rows = clean_lines(spark, d)
+    rows = materialize(clean_lines(spark, d), "lines")
     return tuple(ng.count_grams(rows, n) for n in (1, 2, 3))
 
 
+def counted(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same as tables, for plans that ask for them several times."""
+    return tuple(materialize(x, "grams") for x in model(spark, d))
+
+
 _MODEL = f"{_CLEAN}, u AS ({_grams('clnl', 1)}), b AS ({_grams('clnl', 2)}), t AS ({_grams('clnl', 3)})"
 
 
@@ -145,7 +151,7 @@ p AS (SELECT *, (cu + 0.5::DOUBLE) / (total + 0.5::DOUBLE * voc) AS p1 FROM j),
 
 @query(f"WITH {_MODEL}, {_P} SELECT gram, c3, c12, c23, floor(p1 * 1e9 + 0.5) / 1e9 AS p1, floor(p2 * 1e6 + 0.5) / 1e6 AS p2, floor((c3 + p2) / (c12 + 1) * 1e6 + 0.5) / 1e6 AS p3 FROM q")
 def lm_probabilities(spark, d):
-    return ng.scored(*model(spark, d)).select("gram", "c3", "c12", "c23", (F.floor(F.col("p1") * 1e9 + 0.5) / 1e9).alias("p1"), r6(F.col("p2")).alias("p2"), r6(F.col("p3")).alias("p3"))
+    return ng.scored(*counted(spark, d)).select("gram", "c3", "c12", "c23", (F.floor(F.col("p1") * 1e9 + 0.5) / 1e9).alias("p1"), r6(F.col("p2")).alias("p2"), r6(F.col("p3")).alias("p3"))
 
 
 def tokens(spark, d) -> DataFrame:
@@ -168,7 +174,7 @@ def neighbours(spark, d):
 
 def evidence(spark, d) -> DataFrame:
     """Context evidence for each sibling spelling against each written word, by distinct context."""
-    u, b, t = model(spark, d)
+    u, b, t = counted(spark, d)
     fam = ng.families(u, accent_key, 12)
     at = tokens(spark, d).select("word", "prev2", "prev1", "next1", "next2").distinct()
     keys = at.select("word").distinct().withColumn("akey", accent_key("word"))
@@ -207,7 +213,7 @@ s AS (SELECT *, CASE WHEN cp IS NOT NULL THEN ln(greatest((lb + 2 * pc) / (cp +
 SELECT word, prev1, next1, cand AS best FROM s QUALIFY row_number() OVER (PARTITION BY word, prev1, next1 ORDER BY floor(sc * 1e6 + 0.5) DESC, rnk) = 1""")
 def resolve_ctx(spark, d):
     """The spelling that fits best between the neighbours as written, by smoothed bigrams; ties go to the more frequent."""
-    u, b, _ = model(spark, d)
+    u, b, _ = counted(spark, d)
     fam = ng.families(u, accent_key, 12)
     meta = u.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("voc"))
     at = tokens(spark, d).select("word", "prev1", "next1").distinct()
@@ -290,7 +296,7 @@ def sym_pool(spark, d):
 @query()
 def sym_ranked(spark, d):
     """The pool with alignment distance, cheap score and both ranks; tested against brute force."""
-    return lx.ranked(lx.pool(unknown_words(spark, d), vocabulary(spark, d)))
+    return lx.ranked(lx.pool(unknown_words(spark, d), materialize(vocabulary(spark, d), "vocabulary")))
 
 
 @query(f"""WITH {_UNK}, cuts AS (SELECT word, unnest(range(1, length(word))) AS k FROM unk), sp AS (SELECT word, substr(word, 1, k) AS l, substr(word, k + 1) AS r FROM cuts)
@@ -308,8 +314,8 @@ def word_merge(spark, d):
 def vocab_ids(spark, d):
     """Ids from 8 on by falling frequency. The ranking runs over ranges of counts, so that no task sorts the whole vocabulary."""
     u = model(spark, d)[0].filter("c >= 3")
-    sizes = u.groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
-    above = sizes.alias("x").join(F.broadcast(sizes.alias("y")), F.col("y.c") > F.col("x.c"), "left").groupBy(F.col("x.c").alias("c")).agg(F.coalesce(F.sum("y.n_c"), F.lit(0)).alias("before"))
+    sizes = u.groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))  # one row a distinct count: at most sqrt(2 n) for n words in all
+    above = sizes.withColumn("before", F.coalesce(F.sum("n_c").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_c")
     return u.join(above, "c").select(F.col("gram").alias("word"), F.col("c").alias("n"), (F.lit(7) + F.col("before") + F.row_number().over(Window.partitionBy("c").orderBy("gram"))).cast("long").alias("id"))
 
 

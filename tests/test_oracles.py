@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from sieveloom.plans import checks, language, prep, training
+from sieveloom.plans import checks, forms, language, prep, training
 
 D = "/root/testdata/sf0.001"
-ALL = {n: (f, m.SQL[n]) for m in (language, checks, prep, training) for n, f in m.QUERIES.items() if n in m.SQL}
+ALL = {n: (f, m.SQL[n]) for m in (language, checks, prep, training, forms) for n, f in m.QUERIES.items() if n in m.SQL}
 
 
 @pytest.fixture(scope="module")

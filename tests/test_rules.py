@@ -80,7 +80,6 @@ def test_unicode_functions(spark):
 def test_greedy_match():
     same = lambda a, b: a == b
     assert evaluate.match_one_to_one([1, 1, 2], [1, 2], same) == [0, -1, 1]
-    assert ngrams.admit_groups([("a", 3), ("b", 9), ("c", 2)], 5) == ["a", "c"]
 
 
 def test_ranked_pool(spark):
