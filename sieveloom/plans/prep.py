@@ -118,9 +118,17 @@ def grouped_split(spark, d):
     return prep.prefix_split(g, "g", "s", ["train", "dev", "test"], [0.8, 0.1])
 
 
-@query()
+def components_sql(edges: str) -> str:
+    """SQL for the smallest row id that each row is connected with. edges: SELECT r, k of row ids and keys, or of two keys as (null, k, k2)."""
+    return f"""RECURSIVE ed AS (SELECT DISTINCT CASE WHEN r IS NULL THEN k2 ELSE 'r:' || r END AS a, k AS b, r FROM ({edges}) WHERE k IS NOT NULL), bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+cc(node, comp) USING KEY (node) AS (SELECT node, min(comp) FROM (SELECT a AS node, coalesce(r, 9000000000000000000) AS comp FROM ed UNION ALL SELECT b, 9000000000000000000 FROM ed) GROUP BY node
+UNION SELECT bo.b, min(x.comp) FROM cc x JOIN bo ON x.node = bo.a JOIN recurring.cc u ON u.node = bo.b WHERE x.comp < u.comp GROUP BY bo.b),
+rel AS (SELECT CAST(substr(node, 3) AS BIGINT) AS id, comp AS anchor FROM cc WHERE node LIKE 'r:%')"""
+
+
+@query("WITH " + components_sql("SELECT row_index AS r, 't:' || text_fingerprint AS k, NULL AS k2 FROM split_index UNION ALL SELECT row_index, 'c:' || corrected_fingerprint, NULL FROM split_index UNION ALL SELECT row_index, 'm:' || template_fingerprint, NULL FROM split_index") + " SELECT id, anchor FROM rel")
 def leak_components(spark, d):
-    """Rows of the split index that share a fingerprint, by the smallest row they are connected with; tested against brute force."""
+    """Rows of the split index that share a fingerprint, by the smallest row they are connected with."""
     rows = table(spark, d, "split_index").select("row_index", "text_fingerprint", "corrected_fingerprint", "template_fingerprint")
     return components.related(rows, "row_index", ["text_fingerprint", "corrected_fingerprint", "template_fingerprint"])
 

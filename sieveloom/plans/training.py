@@ -111,7 +111,10 @@ def ctx_slots32(spark, d):
     return training.context_slots(rows.join(target, "row_id"), ["row_id"], "target", "idx").select("row_id", "target", "idx", "word", "slot")
 
 
-@query()
+@query(f"""WITH {language._VOC}, s AS (SELECT word, '<' || word || '>' AS w FROM voc), g AS (SELECT word, list_concat(list_transform(range(1, length(w)), lambda i: substr(w, i, 2)), list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)), list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4))) AS l FROM s),
+f AS (SELECT word, list_filter(l, lambda x, i: list_position(l, x) = i)[1:32] AS l FROM g), x AS (SELECT word, unnest(l) AS r, generate_subscripts(l, 1) - 1 AS pos FROM f),
+h AS (SELECT word, pos, hex(encode(r)) AS hx FROM x)
+SELECT word, CAST(pos AS INT) AS pos, CAST(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(range(0, length(hx) // 2), lambda i: (strpos('0123456789ABCDEF', substr(hx, 2 * i + 1, 1)) * 16 + strpos('0123456789ABCDEF', substr(hx, 2 * i + 2, 1)) - 17)::UBIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 4096 AS INT) AS bucket FROM h""")
 def fnv_hash(spark, d):
     """Hash buckets of the character runs of each word; tested against known values."""
     return language.vocabulary(spark, d).select("word", F.posexplode(training.char_hashes_udf("word")).alias("pos", "bucket"))
