@@ -11,6 +11,7 @@ from sieveloom.llm import copies, leaks, mixing, overlaps, packing, pii, repetit
 from sieveloom.operators import components
 from sieveloom.operators.common import materialize
 from sieveloom.functions.keys import key
+from sieveloom.plans.prep import components_sql
 from sieveloom.sources.tables import spread, table
 
 
@@ -157,7 +158,7 @@ _KEYED = r"lower(regexp_replace({0}, '^[ \t\n\r\x{a0}\x{2003}\x{200b}]+|[ \t\n\r
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL that places every window of every text; the other problems are tested against brute force."""
+    """SQL that finds every component, pair, window and run; the other problems are tested against brute force."""
     held = (
         "SELECT 'corpus_2' AS item_table, id AS item_id, text FROM corpus_2 UNION ALL SELECT 'templates', template_id, text FROM templates WHERE " + _KEYED.replace("{0}", "purpose") + " = 'held_out' "
         "UNION ALL SELECT 'corpus', id, text FROM corpus WHERE row_index IN (SELECT row_index FROM split_index WHERE " + _KEYED.replace("{0}", "split") + " IN ('dev', 'test'))"
@@ -165,7 +166,18 @@ def oracle_sql() -> dict[str, str]:
     grams = "SELECT {key}, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' '))) AS g FROM ({src}) WHERE len(ws) >= 12"
     docs = grams.format(key="doc_id", src=f"SELECT doc_id, {_FOLDED} AS ws FROM documents WHERE text IS NOT NULL")
     items = grams.format(key="item_table, item_id", src=f"SELECT item_table, item_id, {_FOLDED} AS ws FROM ({held}) WHERE text IS NOT NULL")
+    key_of = lambda c: f"nullif({_KEYED.replace('{0}', c)}, '')"
+    related = components_sql(
+        f"SELECT row_id AS r, 'g:' || {key_of('group_id')} AS k, NULL::VARCHAR AS k2 FROM sms_dataset UNION ALL SELECT row_id, 't:' || template_id, NULL FROM sms_dataset UNION ALL SELECT row_id, 'a:' || author_id, NULL FROM sms_dataset WHERE author_id <> 0 "
+        f"UNION ALL SELECT NULL, 't:' || template_id, 'g:' || {key_of('template_group')} FROM templates WHERE {key_of('template_group')} IS NOT NULL"
+    )
     return {
+        "p2_found": f"WITH {related} SELECT anchor AS anchor_row_id, id AS row_id FROM rel WHERE anchor <> id",
+        # words become characters, so that the distance of texts is that of their words; a near pair has few distinct words
+        "p5_found": f"""WITH s AS (SELECT DISTINCT row_index, {_KEYED.replace("{0}", "split")} AS split FROM split_index), r AS (SELECT id, split, {_FOLDED} AS ws FROM corpus JOIN s USING (row_index) WHERE text IS NOT NULL AND split IN ('train', 'dev', 'test')),
+p AS (SELECT a.id AS i, b.id AS j, a.ws AS x, b.ws AS y, greatest(len(a.ws), len(b.ws)) // 5 AS k, list_distinct(list_concat(a.ws, b.ws)) AS d FROM r a JOIN r b ON a.split = 'train' AND b.split <> 'train' AND a.id <> b.id AND abs(len(a.ws) - len(b.ws)) <= greatest(len(a.ws), len(b.ws)) // 5),
+q AS (SELECT i, j, k, array_to_string(list_transform(x, lambda w: chr(31 + list_position(d, w))), '') AS sx, array_to_string(list_transform(y, lambda w: chr(31 + list_position(d, w))), '') AS sy FROM p WHERE len(d) <= least(96, least(len(x), len(y)) + k))
+SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM q WHERE levenshtein(sx, sy) <= k""",
         "p4_found": f"SELECT DISTINCT doc_id, item_table, item_id FROM ({docs}) d JOIN ({items}) i ON d.g = i.g",
         "p8_found": f"""WITH w AS (SELECT doc_id, {_CASED} AS ws FROM documents WHERE text IS NOT NULL), i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
 g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ') ORDER BY i) AS n FROM i), c AS (SELECT doc_id, count(DISTINCT p) AS k FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g WHERE n > 1) GROUP BY doc_id)
