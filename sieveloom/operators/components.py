@@ -11,34 +11,49 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveloom.operators import common
 from sieveloom.operators.common import lookup_join, materialize, release
 
 
 def _signature(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return r[0], r[1]
+    """(edges, hash of them, most edges of one vertex), in one job."""
+    ends = edges.select(F.col("a").alias("u"), F.xxhash64("a", "b").cast("decimal(20,0)").alias("h")).union(edges.select("b", F.lit(0).cast("decimal(20,0)")))
+    r = ends.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+    return (r[0] or 0) // 2, r[1], r[2] or 0
 
 
 def star_forest(edges: DataFrame) -> DataFrame:
     """(a, b) with b the smallest vertex of a's component, for each vertex a of the edges but the smallest ones. edges: (a, b), a > b, distinct.
 
-    A contracted giant component is one star: the edges of its centre are spread by lookup_join."""
+    A contracted giant component is one star: where a vertex has that many edges, they are spread by lookup_join."""
     now = materialize(edges, "edges")
     seen = _signature(now)
     while True:
+        hot = seen[2] > common.HOT_ROWS
+        done = [now]
+
+        def to_least(rows: DataFrame, key: str, least: DataFrame) -> DataFrame:
+            if not hot:
+                return rows.join(least.drop("n"), key)
+            done.extend([rows, least])
+            return lookup_join(rows, least, key, "n", "inner")
+
         # large star: each vertex sends its larger neighbours to the smallest of its neighbourhood
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = materialize(lookup_join(both, least, "u", "n", "inner").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = to_least(both, "u", materialize(least, "least") if hot else least).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each vertex sends its smaller neighbours, and itself, to the smallest of them
-        lowest = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        small = lookup_join(large, lowest, "a", "n", "inner").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b"))).distinct()
+        if hot:
+            large = materialize(large, "large")
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        lowest = materialize(lowest, "least") if hot else lowest
+        small = to_least(large, "a", lowest).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b"))).distinct()
         then = materialize(small, "edges")
-        for t in (now, least, large, lowest):
+        for t in done:
             release(t)
         now, before = then, seen
         seen = _signature(now)
-        if seen == before:
+        if seen[:2] == before[:2]:
             return now
 
 
