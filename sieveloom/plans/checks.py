@@ -176,6 +176,29 @@ def lane_findings(spark, d):
     return _lane_findings(spark, d)
 
 
+@query()
+def lane_stages(spark, d):
+    """Where the spelling lane leaves each word of the held-out messages, by what the labels say of it: its failures by stage."""
+    from sieveloom.operators import lanes
+
+    m, _ = _lane_model(spark, d)
+    rows = _labelled(spark, d)
+    words = lanes.classified(lanes.positions(rows.select(F.col("row_id").alias("msg_id"), "text", F.lit("ACCENTED").alias("mode"))), m)
+    labels = rows.select(F.col("row_id").alias("msg_id"), F.explode("expect").alias("x")).select("msg_id", F.col("x.position_start").alias("start"), "x.rule_id", F.lower("x.suggestion").alias("want")).dropDuplicates(["msg_id", "start"])
+    j = lanes.spelling_stages(words, m).join(labels, ["msg_id", "start"], "left")
+    right = F.coalesce(F.col("cand") == F.col("want"), F.lit(False))
+    return j.groupBy("stage", F.coalesce("rule_id", F.lit("no label")).alias("label")).agg(F.count(F.lit(1)).alias("words"), F.sum(right.cast("long")).alias("best_is_right"))
+
+
+@query()
+def rule_health(spark, d):
+    """Findings of each registered rule, before conflicts, and the messages on which it failed."""
+    names = spark.createDataFrame([(n,) for n in rules.REGISTRY], "rule_id string")
+    found = raw_findings(spark, d).groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"))
+    failed = rules.degraded(results(spark, d), "id").select("rule_id", F.col("messages").alias("failed"))
+    return F.broadcast(names).join(found, "rule_id", "left").join(failed, "rule_id", "left").fillna(0, ["findings", "failed"])
+
+
 @query()
 def lane_scores(spark, d):
     """Precision, recall and F0.5 of the findings against the labels by error profile, strictly by rule, place and suggestion, and by place alone."""

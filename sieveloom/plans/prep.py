@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sieveloom.functions.unicode import accent_key, fold_key, nfc, without_accents, words
 from sieveloom.operators import calibration, components, evaluate, prep
+from sieveloom.operators.common import lookup_join, materialize
 from sieveloom.plans import checks, language
 from sieveloom.functions.keys import key
 from sieveloom.sources.tables import table
@@ -133,6 +134,21 @@ def leak_components(spark, d):
     return components.related(rows, "row_index", ["text_fingerprint", "corrected_fingerprint", "template_fingerprint"])
 
 
+_FOUR = " UNION ALL ".join(f"SELECT row_index AS r, '{c[0]}:' || {e} AS k, NULL AS k2 FROM split_index" for c, e in (("text", "text_fingerprint"), ("corrected", "corrected_fingerprint"), ("model", "template_fingerprint"), ("group", "nullif(" + _trim("group_id") + ", '')")))
+
+
+@query("WITH " + components_sql(_FOUR) + """, al AS (SELECT DISTINCT i.row_index AS id, coalesce(anchor, i.row_index) AS g FROM split_index i LEFT JOIN rel ON rel.id = i.row_index), c AS (SELECT CAST(g AS VARCHAR) AS g, count(*) AS s FROM al GROUP BY g),
+r AS (SELECT g, sum(s) OVER (ORDER BY sha256(g)) - s / 2 AS mid, sum(s) OVER () AS total FROM c) SELECT al.id AS row_index, CASE WHEN mid < total * 0.8::DOUBLE THEN 'train' WHEN mid < total * 0.9::DOUBLE THEN 'dev' ELSE 'test' END AS split FROM al JOIN r ON r.g = CAST(al.g AS VARCHAR)""")
+def component_split(spark, d):
+    """Rows that share any of four keys (three fingerprints and the group) go to one split, components in the order of their digests."""
+    rows = table(spark, d, "split_index").select("row_index", "text_fingerprint", "corrected_fingerprint", "template_fingerprint", key("group_id").alias("g"))
+    related = components.related(rows, "row_index", ["text_fingerprint", "corrected_fingerprint", "template_fingerprint", "g"])
+    each = materialize(rows.select("row_index").distinct().join(related.withColumnRenamed("id", "row_index"), "row_index", "left").select("row_index", F.coalesce("anchor", "row_index").cast("string").alias("g")), "rows")
+    sizes = materialize(each.groupBy("g").agg(F.count(F.lit(1)).alias("s")), "sizes")
+    where = materialize(prep.prefix_split(sizes, "g", "s", ["train", "dev", "test"], [0.8, 0.1]).join(sizes, "g"), "splits")
+    return lookup_join(each, where, "g", "s").select("row_index", "split")
+
+
 @query("""WITH s AS (SELECT DISTINCT row_index, """ + _trim("split") + """ AS split, template_fingerprint AS f FROM split_index WHERE split IS NOT NULL AND template_fingerprint IS NOT NULL)
 SELECT f AS fingerprint, count(DISTINCT split) AS splits, count(*) AS n FROM s WHERE split <> '' GROUP BY f HAVING count(DISTINCT split) > 1""")
 def leak_audit(spark, d):
@@ -326,6 +342,16 @@ def select_winner(spark, d):
     return replay_grid(spark, d).filter("precision >= 0.5").orderBy(F.desc("f05"), F.desc("precision"), "threshold").limit(1)
 
 
+@query(f"""WITH {_GUESS}, g AS (SELECT a::DOUBLE AS least_p, b::DOUBLE AS least_margin FROM (SELECT unnest([0.0, 0.3, 0.5, 0.7, 0.9]) AS a), (SELECT unnest([0.0, 0.1, 0.3, 0.6]) AS b)),
+r AS (SELECT least_p, least_margin, CAST(sum((p >= least_p AND margin >= least_margin)::INT) AS BIGINT) AS emitted, CAST(sum((p >= least_p AND margin >= least_margin AND ok)::INT) AS BIGINT) AS hits, count(*) AS labels FROM gs, g GROUP BY ALL),
+q AS (SELECT *, CASE WHEN emitted = 0 THEN 0 ELSE hits / emitted END AS pr, hits / labels AS rc FROM r), z AS (SELECT *, CASE WHEN 0.25 * pr + rc = 0 THEN 0 ELSE 1.25 * pr * rc / (0.25 * pr + rc) END AS f FROM q)
+SELECT least_p, least_margin, emitted, hits, labels, floor(f * 1e6 + 0.5) / 1e6 AS f05 FROM z WHERE f > 0 AND pr >= (SELECT pr FROM z WHERE least_p = 0.5 AND least_margin = 0.1) - 0.02 ORDER BY f DESC, least_p, least_margin LIMIT 1""")
+def tuned(spark, d):
+    """Confidence and margin with the best F0.5 among those whose precision holds."""
+    got = evaluate.tune(guesses(spark, d), {"p": [0.0, 0.3, 0.5, 0.7, 0.9], "margin": [0.0, 0.1, 0.3, 0.6]}, {"p": 0.5, "margin": 0.1})
+    return got.select("least_p", "least_margin", "emitted", "hits", "labels", language.r6(F.col("f05")).alias("f05"))
+
+
 @query(f"WITH {_GUESS} SELECT relation, CAST(count(*) FILTER (ok) AS BIGINT) AS hit, CAST(count(*) FILTER (NOT ok AND guess IS NOT NULL AND rank IS NOT NULL) AS BIGINT) AS outranked, CAST(count(*) FILTER (NOT ok AND guess IS NOT NULL AND rank IS NULL) AS BIGINT) AS not_in_pool, CAST(count(*) FILTER (guess IS NULL) AS BIGINT) AS no_candidate, count(*) AS labels FROM gs GROUP BY relation")
 def stage_pivot(spark, d):
     """Each label falls into exactly one stage, by relation."""

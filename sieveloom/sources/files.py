@@ -123,6 +123,18 @@ def allow_split(split: str, final: bool = False) -> str:
     return split
 
 
+def digest(df: DataFrame) -> F.Column:
+    """Sum of the hashes of all rows, whatever their order."""
+    return F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+
+
+def dump_shards(df: DataFrame, path: str, key: str, shards: int) -> DataFrame:
+    """Writes at most so many files, each with a range of the key in order; (shard, rows, first_key, last_key, digest) of each."""
+    df.repartitionByRange(shards, key).sortWithinPartitions(key).write.parquet(path)
+    got = df.sparkSession.read.schema(df.schema).parquet(path)
+    return got.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard")).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("first_key"), F.max(key).alias("last_key"), digest(got).alias("digest"))
+
+
 def write_whole(df: DataFrame, path: str, kind: str = "parquet", manifest: dict | None = None, **options: str) -> None:
     """Writes beside the path and renames when all is there; the old content stays until then. With a manifest, a JSON file with it and the number of rows is written last."""
     spark = df.sparkSession
@@ -141,9 +153,9 @@ def write_whole(df: DataFrame, path: str, kind: str = "parquet", manifest: dict
     if had:
         fs.delete(old, True)
     if manifest is not None:
-        rows = spark.read.format(kind).load(path).count()
+        rows, sign = spark.read.options(**options).format(kind).load(path).transform(lambda x: x.agg(F.count(F.lit(1)), digest(x))).first()
         out = fs.create(_fs(spark, f"{path}.manifest.json")[0], True)
-        out.write(json.dumps(manifest | {"rows": rows, "format": kind}, sort_keys=True, ensure_ascii=False).encode())
+        out.write(json.dumps(manifest | {"rows": rows, "digest": str(sign or 0), "format": kind}, sort_keys=True, ensure_ascii=False).encode())
         out.close()
 
 
