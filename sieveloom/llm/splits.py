@@ -126,7 +126,8 @@ def assign(records: DataFrame, related: DataFrame, label: str, names: list[str],
     best, loads = state, loads_of(state)
     least = deviation(loads, want)
     for k, power in enumerate(powers):
-        then = materialize(state.groupBy("chunk").applyInArrow(_annealer(want - loads, power, total[2 + BUCKETS + k], seed + k), schema), "state")
+        # a number of partitions of our own: small chunks that cost much time must not be coalesced into one task by their bytes
+        then = materialize(state.repartition(min(chunks, 10_000), "chunk").groupBy("chunk").applyInArrow(_annealer(want - loads, power, total[2 + BUCKETS + k], seed + k), schema), "state")
         loads = loads_of(then)
         if state is not best:
             release(state)
