@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from sieveloom.functions.text import cased_words, folded_words
+from sieveloom.functions.text import WordHashes, cased_words, folded_words
 from sieveloom.llm import leaks, mixing, packing, pii, pii_model, pii_train, queries, repetition
 from sieveloom.llm.tokens import count_tokens
 from sieveloom.sources.tables import table
@@ -141,6 +141,38 @@ def test_repetition_bound_is_a_bound():
         assert js >= ref.bound(np.array([n]))[0] - 1e-9
 
 
+def test_repetition_guards_drop_texts(spark, monkeypatch):
+    """Few distinct words alone make no suspicion; a share of exactly SHARE by runs that each stand alone does."""
+    old = [[f"chữ{j}{i}" for i in range(5)] for j in range(6)]
+    other = iter(f"khác{i}" for i in range(1000))
+    edge = sum(old, []) + [w for run in old[::-1] for w in (*run, next(other))] + [next(other) for _ in range(34)]
+    plain = [w for i in range(50) for w in ("và", f"từ{i}")]
+    texts = {1: edge, 2: edge + ["thêm"], 3: plain, 4: plain[:60] + plain[:5] + plain[60:]}
+    df = spark.createDataFrame([(i, " ".join(ws), "vi") for i, ws in texts.items()], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["suspected"], r["repeated_share"]) for r in repetition.measure(df).collect()}
+    assert {i: s for i, (_, s) in got.items()} == {i: brute_repeated(ws) / len(ws) for i, ws in texts.items()}
+    assert got[1] == (True, 0.3) and not got[2][0] and not got[3][0] and not got[4][0] and got[4][1] > 0
+    monkeypatch.setattr(repetition, "references", lambda docs: 1 / 0)  # no guard asks for a language's histograms
+    assert [r["doc_id"] for r in repetition.measure(df, found_only=True).collect()] == [1]
+
+
+def test_repetition_guards_lose_nothing():
+    rng = random.Random(8)
+    hashes, kept, dropped = WordHashes(), 0, 0
+    for _ in range(4000):
+        ws = [f"{rng.randrange(rng.choice((2, 6, 400)))}" for _ in range(rng.randrange(1, 60))]
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(ws))
+            ws += ws[at : at + rng.choice((5, 5, 9))] + [f"x{rng.random()}"] * rng.randrange(2)
+        share = brute_repeated(ws) / len(ws)
+        suspected, got = repetition.assess(ws, hashes, False)
+        assert got == (share if suspected else 0.0) and suspected >= (share >= repetition.SHARE - 1e-12)
+        assert repetition.assess(ws, hashes, True) == (suspected, share)
+        few = len(ws) > repetition.RUN and len(set(ws)) <= (1 - repetition.SHARE) * len(ws)
+        kept, dropped = kept + suspected, dropped + (few and not suspected)
+    assert kept > 500 and dropped > 50
+
+
 def brute_leaks(docs, items):
     index = defaultdict(set)
     for name, i, t in items:
