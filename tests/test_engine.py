@@ -176,3 +176,35 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.with_dimensions(src, lambda: "v1", lambda b, dim: seen.append((b.count(), dim))).trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/ck").start()
     q.awaitTermination()
     assert seen == [(5, "v1")]
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_no_plan_holds_all_lanes(spark, model):
+    """A driver of little memory must do: what find() and validate() return is no plan of all lanes at once."""
+    from sieveloom.operators.engine import validate
+
+    m = spark.createDataFrame([(1, "xin cam on quy khach", "ACCENTED")], "msg_id long, text string, mode string")
+    assert joins(lanes.find(m, *model)[0]) <= 10 and joins(validate(m, *model)) <= 16
+
+
+def test_counts_are_the_same_with_marks(spark, model):
+    """The marks hold all n-grams of the model, and what they spare counts nothing."""
+    from sieveloom.operators import evidence
+
+    m, _ = model
+    grams = (m.u, m.b, m.t)
+    held = evidence.marks(*grams)
+    assert all(x.filter(~held(F.col("gram"))).count() == 0 for x in grams)
+    rows = spark.createDataFrame([(None, "xin", "cảm", "cam", "ơn", "quý"), ("xin", None, "x", "tại", None, None), (None, "hẹn", "gặp", "gập", "lại", "quý")], "prev2 string, prev1 string, cand string, word string, next1 string, next2 string")
+    want = evidence.attest(rows, grams)
+    assert {r.asDict().__repr__() for r in evidence.attest(rows, grams, held=held).select(want.columns).collect()} == {r.asDict().__repr__() for r in want.collect()}
+
+
+def test_words_of_a_message(spark):
+    """Neighbours and anchors need no window: a word is anchored by one past blanks and at most three other tokens of its sentence."""
+    m = spark.createDataFrame([(1, "một hai, (1) ba. bốn 2 - 3 ; năm", "ACCENTED"), (2, "", "ACCENTED"), (3, None, "ACCENTED")], "msg_id long, text string, mode string")
+    got = [(r["word"], r["prev2"], r["prev1"], r["next1"], r["next2"], r["anchored"]) for r in lanes.positions(m).orderBy("idx").collect()]
+    assert got == [("một", None, None, "hai", "ba", True), ("hai", None, "một", "ba", "bốn", True), ("ba", "một", "hai", "bốn", "năm", False), ("bốn", "hai", "ba", "năm", None, False), ("năm", "ba", "bốn", None, None, False)]
